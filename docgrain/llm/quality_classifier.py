@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .logistic import Curve, fit_curve
 from .toxicity import labelled
 
 #: Labelled rows of each class that a model is learned from at most, chosen by hash of the doc_id:
@@ -31,13 +32,12 @@ LEVEL = 1
 
 @dataclass
 class Model:
-    """Dictionaries (empty: none) and the curve: means, scales and weights of the size features."""
+    """Dictionaries (empty: none), and the curve over the size features or else one score for all."""
 
     good: bytes = b""
     bad: bytes = b""
-    mean: tuple[float, ...] = ()
-    scale: tuple[float, ...] = ()
-    weights: tuple[float, ...] = (1.0,)
+    curve: Curve | None = None
+    constant: float = 0.5
 
 
 def pieces_of(text: str | None) -> list[bytes]:
@@ -91,22 +91,6 @@ def features(sizes: np.ndarray) -> np.ndarray:
     ]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, scales and weights of a logistic curve, by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w = np.zeros(z.shape[1])
-    pull = ridge * len(x) * np.r_[0, np.ones(len(w) - 1)] + 1e-9
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(pull)
-        step = np.linalg.solve(hessian, z.T @ (p - y) + pull * w)
-        w -= np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-7:
-            break
-    return mean, scale, w
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2,
     most: dict[int, int] | None = None,
@@ -134,12 +118,8 @@ def fit(
     model = Model(train(by[1]) if by[1] else b"", train(by[0]) if by[0] else b"")
     measured = rows.where(half == 1).select("y", sizes(model)(F.col("text")).alias("s")).collect()
     y = np.array([r[0] for r in measured], float)
-    if len(y) == 0 or y.min() == y.max():
-        known = [r[0] for r in rows.groupBy("y").count().collect()]
-        model.weights = (4.0 * (1 in known) - 4.0 * (0 in known),)
-        return model
-    mean, scale, w = calibrate(features(np.array([list(r[1]) for r in measured])), y)
-    model.mean, model.scale, model.weights = tuple(mean), tuple(scale), tuple(w)
+    if len(y):
+        model.curve, model.constant = fit_curve(features(np.array([list(r[1]) for r in measured])), y), float(y.mean())
     return model
 
 
@@ -171,11 +151,10 @@ def quality(model: Model):
             if not len(texts):
                 yield pa.array([], pa.float64())
                 continue
-            x = features(np.array([sizer.sizes(t.as_py()) for t in texts]))
-            logit = np.full(len(texts), model.weights[0])
-            if model.mean:
-                logit = logit + (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights[1:])
-            yield pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))), pa.float64())
+            if model.curve is None:
+                yield pa.array(np.full(len(texts), model.constant))
+            else:
+                yield pa.array(model.curve(features(np.array([sizer.sizes(t.as_py()) for t in texts]))))
 
     return run
 

@@ -134,17 +134,21 @@ def _bucket_links(most: int):
     return run
 
 
-def dense_links(fingerprints: DataFrame) -> DataFrame:
-    """Links that join exactly the fingerprints (``f``) within distance 2 of each other, without pairs.
+def dense_links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
+    """Links that join exactly the fingerprints (``f``) within distance ``most`` of each other, without pairs.
 
     Each fingerprint meets, at itself and at each fingerprint one bit away, those that have the place
     within one bit as well: two fingerprints meet somewhere if and only if they are within two bits.
-    At most 65 meet at a place, so a place gives one link per fingerprint, to the least that it holds.
+    At most 65 meet at a place, so a place gives one link per fingerprint, to the least that it holds
+    (for a distance of one: to the place itself, if that is a fingerprint).
     """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
     near = fingerprints.select("f", F.explode(F.transform(flips, lambda m: F.col("f").bitwiseXOR(m))).alias("place"))
     met = near.groupBy("place").agg(F.collect_list("f").alias("fs")).where(F.size("fs") > 1)
-    return met.select(F.explode("fs").alias("a"), F.array_min("fs").alias("b")).where("a <> b").distinct()
+    hub = F.array_min("fs")
+    if most < 2:
+        met, hub = met.where(F.array_contains("fs", F.col("place")) & F.lit(most == 1)), F.col("place")
+    return met.select(F.explode("fs").alias("a"), hub.alias("b")).where("a <> b").distinct()
 
 
 def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
@@ -177,9 +181,7 @@ def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
     buckets = buckets.where(F.size("members") > 1).select("members")
     found = buckets.mapInArrow(_bucket_links(most), "a long, b long").distinct()
     if marked.any():
-        found = found.unionByName(dense_links(dense))
-        if most < 2:
-            found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
+        found = found.unionByName(dense_links(dense, most))
     return found
 
 

@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .logistic import Curve, fit_curve
 
 #: Labelled rows of each class that a model is learned from at most, chosen by hash of the doc_id.
 SAMPLE = {1: 4000, 0: 8000}
 #: Lexicon terms and exception phrases kept at most.
 TERMS, PHRASES = 2000, 2000
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Uses of a term in one document that count in learning.
+MOST_USES = 6
 
 # A starting lexicon, and phrases in which its words are harmless.
 LEXICON = (
@@ -46,14 +49,15 @@ DIGITS = "0o 1i 3e 4a 5s 6g 7t 8b 9g"
 SIGNS = "$s @a !i |i"
 
 
-def _fold_table() -> dict[int, str | None]:
+def _fold_table(accents: bool) -> dict[int, str | None]:
+    """What folding puts for a character. Accents of Latin letters stay unless ``accents`` asks for plain ones."""
     table: dict[int, str | None] = {}
     for c in range(0x80, 0x2C00):
         if unicodedata.combining(chr(c)):
             table[c] = None
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)).lower() if not unicodedata.combining(x))
-        if plain and plain != chr(c) and plain.isascii() and plain.isalnum():
+        if (accents or c >= 0x250) and plain and plain != chr(c) and plain.isascii() and plain.isalnum():
             table[c] = plain
     for c in range(0xFF01, 0xFF5F):
         table[c] = chr(c - 0xFEE0).lower()
@@ -63,15 +67,19 @@ def _fold_table() -> dict[int, str | None]:
     return table
 
 
-_TABLE = _fold_table()
+_TABLES = {accents: _fold_table(accents) for accents in (False, True)}
 _SIGNS = {ord(p[0]): p[1] for p in SIGNS.split()}
-_IN_WORD = re.compile(r"(?<=[a-z])[$@!|]+(?=[a-z])")
+_IN_WORD = re.compile(r"(?<=[a-z])[$@!|]+(?=[a-z])|(?<!\S)[$@](?=[a-z])")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def fold(text: str) -> str:
-    """The text as it is matched: lower case, look-alikes, accents, digits and signs in words replaced."""
-    out = text.lower().translate(_TABLE)
+def fold(text: str, accents: bool = False) -> str:
+    """The text as it is matched: lower case; look-alikes, digits, and signs in words replaced; composed,
+    or without accents if asked for."""
+    out = text.lower()
+    if not out.isascii():
+        out = unicodedata.normalize("NFC", out)
+    out = out.translate(_TABLES[accents])
     if _IN_WORD.search(out):
         out = _IN_WORD.sub(lambda m: m[0].translate(_SIGNS), out)
     return out
@@ -80,11 +88,11 @@ def fold(text: str) -> str:
 @dataclass
 class Model:
     """terms: (folded term, whole word?) to weight; exceptions: phrases that take a match back;
-    curve: intercept and slopes of the logistic function."""
+    curve: the logistic function of what is measured (none: a fixed one)."""
 
     terms: dict[tuple[str, bool], float]
     exceptions: set[str] = field(default_factory=set)
-    curve: tuple[float, ...] = (-2.0, 6.0, 1.0)
+    curve: Curve | None = None
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -120,6 +128,8 @@ class Matcher:
         if known:
             self.auto.make_automaton()
         self.any = bool(known)
+        whole = {t: w for t, w in model.terms.items() if t[1] and t[0].isascii()}
+        self.whole = Matcher(Model(whole, model.exceptions)) if 0 < len(whole) < len(model.terms) else self if whole else None
 
     def matches(self, folded: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of all matches in a folded text, exceptions taken out."""
@@ -140,22 +150,32 @@ class Matcher:
             out = [x for x in out if not any(p in self.model.exceptions for p in phrases(folded, x[0]))]
         return out
 
-    def measure(self, text: str | None) -> tuple[float, float]:
-        """Weighted matches of a text, and the same per hundred words: what its score depends on."""
+    def measure(self, text: str | None) -> tuple[float, float, float]:
+        """Weighted matches of a text, the same per hundred words, and its words: what its score depends on.
+
+        Whole-word terms also match with accents taken off, where that finds more.
+        """
         if not text:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         folded = fold(text)
-        weight = sum(w for _, _, w in self.matches(folded))
-        return weight, 100 * weight / (1 + folded.count(" ") + folded.count("\n")) if weight else 0.0
+        found = self.matches(folded)
+        weight = sum(w for _, _, w in found)
+        if not folded.isascii() and self.whole is not None:
+            weight += max(0.0, sum(w for _, _, w in self.whole.matches(fold(text, True))) - weight)
+        n = 1 + folded.count(" ") + folded.count("\n")
+        return weight, 100 * weight / n, n
 
     def score(self, text: str | None) -> float:
-        a, *b = self.model.curve
-        x = a + sum(k * v for k, v in zip(b, squash(*self.measure(text))))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        x = squash(*self.measure(text))
+        if self.model.curve is not None:
+            return float(self.model.curve(np.array([x]))[0])
+        t = -2.0 + 1.5 * x[2] * 4 + x[1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
 
 
-def squash(weight: float, density: float) -> tuple[float, float]:
-    return min(weight, 12.0) / 4, math.log1p(min(density, 200.0))
+def squash(weight: float, density: float, words: float) -> tuple[float, ...]:
+    """What the curve sees of a text's measures."""
+    return math.log1p(weight), math.log1p(density), min(weight, 12.0) / 4, math.log1p(words), float(weight > 0)
 
 
 def phrases(folded: str, start: int) -> list[str]:
@@ -194,77 +214,71 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a candidate term, counted per task."""
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
+    """Candidate terms, counted per task: toxic documents that hold them, and uses (at most MOST_USES per
+    document) in other and in toxic documents. The row of the empty term holds totals."""
+    uses: tuple[Counter, Counter] = (Counter(), Counter())
+    held: Counter = Counter()
+    words, docs = [0, 0], 0
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = set(_WORDS.findall(fold(text.as_py() or "")))
-            terms = {w + "$" for w in words if 2 < len(w) < 25}
-            terms.update(w[:k] for w in words for k in BEGINNINGS if len(w) > k)
-            count[y].update(terms)
-            total[y] += 1
-    terms = [t for t in {*count[0], *count[1]}]
-    cols = [pa.array([*terms, ""]), pa.array([count[0][t] for t in terms] + [total[0]], pa.int64())]
-    cols.append(pa.array([count[1][t] for t in terms] + [total[1]], pa.int64()))
-    yield pa.RecordBatch.from_arrays(cols, ["term", "n0", "n1"])
-
-
-def choose_terms(rows: list[tuple[str, int, int]], total: tuple[int, int]) -> dict[tuple[str, bool], float]:
-    """The lexicon from counts of documents (term, others, toxic): terms that are telling beyond chance.
-
-    Of a word and its beginnings the shortest that loses hardly any precision stands for all.
+            own: Counter = Counter()
+            found = Counter(_WORDS.findall(fold(text.as_py() or "")))
+            for w, n in found.items():
+                if 2 < len(w) < 25:
+                    own[w + "$"] += n
+                for k in BEGINNINGS:
+                    if len(w) > k:
+                        own[w[:k]] += n
+            for t, n in own.items():
+                uses[y][t] += min(n, MOST_USES)
+            words[y] += min(sum(found.values()), 100_000)
+            if y:
+                held.update(own.keys())
+                docs += 1
+    terms = [t for t in {*uses[0], *uses[1]} if uses[1][t]] + [t for t in uses[0] if not uses[1][t]]
+    cols = [pa.array([*terms, ""])]
+    for counts, total in ((held, docs), (uses[0], words[0]), (uses[1], words[1])):
+        cols.append(pa.array([counts[t] for t in terms] + [total], pa.int64()))
+    yield pa.RecordBatch.from_arrays(cols, ["term", "docs", "n0", "n1"])
+
+
+def choose_terms(rows: list[tuple[str, int, int, int]], words: tuple[int, int]) -> dict[tuple[str, bool], float]:
+    """The lexicon from (term, toxic documents, uses elsewhere, uses in toxic documents) and total words.
+
+    Terms are taken in order of their log-likelihood ratio, the longer of equals first; a term is left
+    out if it begins with a chosen one or a chosen one begins with it. So each family of words is held
+    by the beginning, or the whole word, that tells most.
     """
-    n0, n1 = max(1, total[0]), max(1, total[1])
-    base = math.log(n1 / (n0 + n1))
-    trials = math.log(max(2, len(rows)))
+    w0, w1 = max(1, words[0]), max(1, words[1])
+    base = w1 / (w0 + w1)
 
-    def told(a: int, b: int) -> float:
-        return math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1))
+    def ratio(a: int, b: int) -> float:
+        n = a + b
+        p = b / n
+        out = b * math.log(p / base) if b else 0.0
+        return 2 * (out + (a * math.log((1 - p) / (1 - base)) if a else 0.0))
 
-    def precision(a: int, b: int) -> float:
-        return (b / n1) / (b / n1 + (a + 0.3) / n0)
+    def lift(a: int, b: int) -> float:
+        return (b + 0.5) / w1 / ((a + 0.5) / w0)
 
-    good = {
-        t: (a, b) for t, a, b in rows
-        if b >= 3 and b / n1 > 8 * a / n0 and b * base + a * 1.5 < -trials - 3
-    }
+    least = 2 * math.log(max(2, len(rows))) + 12
+    told = [(ratio(a, b), len(t), t, lift(a, b)) for t, d, a, b in rows if d >= 3 and lift(a, b) >= 6]
     out: dict[tuple[str, bool], float] = {}
-    for t in sorted(good, key=lambda t: (len(t.rstrip("$")), t)):
+    short: set[str] = set()
+    below: set[str] = set()
+    for g, _, t, up in sorted(told, reverse=True):
         word = t.rstrip("$")
-        above = [word[:k] for k in range(2, len(word) + (t != word)) if (word[:k], False) in out]
-        if above:
-            parent = good[above[-1]]
-            if precision(*good[t]) <= precision(*parent) + 0.02:
-                continue
-            if not t.endswith("$") and good[t][1] >= 0.85 * parent[1]:
-                del out[(above[-1], False)]  # the longer beginning keeps the matches and is cleaner
-        out[(word, t.endswith("$"))] = min(4.0, told(*good[t]))
-        if len(out) == TERMS:
+        if g < least or len(out) == TERMS:
             break
+        if any(word[:k] in short for k in range(2, len(word) + 1)) or (t == word and word in below):
+            continue
+        out[(word, t != word)] = min(4.0, math.log(up))
+        below.update(word[:k] for k in range(2, len(word) + 1))
+        if t == word:
+            short.add(word)
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, ...]:
-    """Intercept and slopes of a logistic regression, by Newton steps; each class weighs at least a tenth."""
-    z = np.c_[np.ones(len(x)), x]
-    t = np.zeros(z.shape[1])
-    if len(y) == 0 or y.min() == y.max():
-        return Model({}).curve
-    w = np.where(y == 1, 1 / max(y.sum(), 0.1 * len(y)), 1 / max((1 - y).sum(), 0.1 * len(y)))
-    w = w / w.sum()
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-z @ t))
-        pull = ridge * np.r_[0.05, np.ones(len(t) - 1)] * 0.05
-        gradient = z.T @ (w * (p - y)) + pull * t
-        hessian = (z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(pull)
-        step = np.linalg.solve(hessian, gradient)
-        t = t - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(float(v) for v in t)
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0,
     most: dict[int, int] | None = None,
@@ -274,11 +288,12 @@ def fit(
     Learned from at most SAMPLE rows per class. Without labels it is the fixed lexicon.
     """
     rows = checkpointed(labelled(docs, labels, label, modulus, held_out, most or SAMPLE))
-    counts = rows.select("text", "y").mapInArrow(_candidates, "term string, n0 long, n1 long")
-    counts = counts.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.select("text", "y").mapInArrow(_candidates, "term string, docs long, n0 long, n1 long")
+    counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "n0", "n1")])
+    counts = counts.where("term = '' or docs >= 3")
     total = counts.where("term = ''").select("n0", "n1").first()
     n0, n1 = (total[0], total[1]) if total else (0, 0)
-    telling = counts.where(F.col("term") != "").where(F.col("n1") >= 3).where(F.col("n1") * F.lit(n0) > F.col("n0") * F.lit(8 * n1))
+    telling = counts.where(F.col("term") != "").where((F.col("n1") + 0.5) * F.lit(n0) >= (F.col("n0") + 0.5) * F.lit(6 * n1))
     telling = telling.orderBy(F.desc("n1"), "n0", "term").limit(20 * TERMS)
     learned = choose_terms([tuple(r) for r in telling.collect()], (n0, n1))
     terms = {(w, True): 1.0 for w in LEXICON} | learned
@@ -293,37 +308,39 @@ def fit(
                 found = matcher.matches(folded)
                 near.append(sorted({p for s, _, _ in found for p in phrases(folded, s)})[:200])
                 got.append(matcher.measure(text.as_py()))
-            cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())]
+            cols = [pa.array([list(g) for g in got], pa.list_(pa.float64()))]
             cols += [batch.column(1), pa.array(near, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["weight", "density", "y", "near"])
+            yield pa.RecordBatch.from_arrays(cols, ["m", "y", "near"])
 
-    seen = rows.select("text", "y").mapInArrow(measures, "weight double, density double, y int, near array<string>")
-    got = seen.select("weight", "density", "y", F.when(F.col("y") == 0, F.col("near")).alias("near")).collect()
+    seen = rows.select("text", "y").mapInArrow(measures, "m array<double>, y int, near array<string>")
+    got = seen.select("m", "y", F.when(F.col("y") == 0, F.col("near")).alias("near")).collect()
     # A phrase that clean documents keep using is an exception, if toxic ones don't depend on it.
-    harmless = Counter(p for r in got if r[2] == 0 and r[3] for p in set(r[3]))
+    harmless = Counter(p for r in got if r[1] == 0 and r[2] for p in set(r[2]))
     common = {p for p, n in harmless.most_common(PHRASES) if n >= 5}
     if common:
         toxic = seen.where("y = 1").select(F.explode("near").alias("p")).where(F.col("p").isin(sorted(common)))
         toxic_n = dict(toxic.groupBy("p").count().collect())
         model.exceptions |= {p for p in common if toxic_n.get(p, 0) * 4 < harmless[p]}
-        got = seen.select("weight", "density", "y").collect()
-    x = np.array([squash(r[0], r[1]) for r in got], float).reshape(-1, 2)
-    model.curve = _fit(x, np.array([r[2] for r in got], float))
+        got = seen.select("m", "y").collect()
+    x = np.array([squash(*r[0]) for r in got], float).reshape(len(got), -1)
+    model.curve = fit_curve(x, np.array([r[1] for r in got], float))
     return model
 
 
 @lru_cache(maxsize=2)
-def _matcher(terms: tuple, exceptions: tuple, curve: tuple) -> Matcher:
-    return Matcher(Model(dict(terms), set(exceptions), curve))
+def _matcher(terms: tuple, exceptions: tuple) -> Matcher:
+    return Matcher(Model(dict(terms), set(exceptions)))
 
 
 def toxicity(model: Model):
     """Column function: text to score. Null and empty texts score as texts without a match."""
-    state = (tuple(sorted(model.terms.items())), tuple(sorted(model.exceptions)), model.curve)
+    state = (tuple(sorted(model.terms.items())), tuple(sorted(model.exceptions)))
+    curve = model.curve
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = _matcher(*state)
+        matcher.model.curve = curve
         for texts in batches:
             yield pa.array([matcher.score(t.as_py()) for t in texts], pa.float64())
 
