@@ -50,7 +50,8 @@ def restore(text: Column, saved: Column) -> Column:
     unknown = F.array_min(F.filter(found, lambda m: m >= n))
     odd = F.exists(found, lambda m: m.isNull())
     error = (
-        F.when(wrong.isNotNull(), F.format_string("marker %d came back %d times, expected once", wrong, times(wrong)))
+        F.when(text.isNull(), F.lit("no text"))
+        .when(wrong.isNotNull(), F.format_string("marker %d came back %d times, expected once", wrong, times(wrong)))
         .when(unknown.isNotNull(), F.format_string("marker %d was never sent", unknown))
         .when(odd, F.lit("marker without a usable number"))
     )

@@ -66,7 +66,8 @@ def _task(options: Options, unit: str):
 
 
 def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options: Options) -> DataFrame:
-    """Parts rewritten fragment by fragment: keys, out, requests, reused, kept, batched, accepted, glossary."""
+    """Parts rewritten fragment by fragment: keys, out, kept (fragments left as they were after an unusable
+    reply), error (if a request had no reply), requests, accepted (answered in a list), reused."""
     rows = piece_rows(parts, keys)
     own = rows.where("translate").withColumn("masked", mask(F.col("text"))).withColumn("saved", tokens(F.col("text")))
     own = own.withColumn("scope", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
@@ -104,16 +105,18 @@ def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options
     done = own.join(replies, "id", "left").withColumn("fitted", fit(F.col("text"), trim(F.col("reply"))))
     done = done.withColumn("back", restore(F.col("fitted.text"), F.col("saved")))
     done = done.select(
-        *keys, "piece_idx", F.coalesce("back.text", "text").alias("out"), F.col("back.text").isNull().alias("kept"),
-        "id", "batched",
+        *keys, "piece_idx", F.coalesce("back.text", "text").alias("out"),
+        (F.col("back.text").isNull() & F.col("reply").isNotNull()).alias("kept"), "id", "batched",
+        F.col("reply").isNull().alias("failed"),
     )
     literal = rows.where("not translate").select(*keys, "piece_idx", F.col("text").alias("out"), F.lit(False).alias("kept"),
-                                                 F.lit(None).cast("string").alias("id"), F.lit(None).cast("boolean").alias("batched"))
+                                                 F.lit(None).cast("string").alias("id"), F.lit(None).cast("boolean").alias("batched"), F.lit(False).alias("failed"))
     all_ = done.unionByName(literal)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece_idx", "out"))), lambda p: p["out"])
     return all_.groupBy(*keys).agg(
         F.concat(trim(F.concat_ws("", ordered)), F.lit("\n")).alias("out"),
         F.count_if("kept").alias("kept"),
+        F.when(F.bool_or("failed"), "no reply").alias("error"),
         F.count_distinct(F.when(~F.col("batched"), F.col("id"))).alias("requests"),
         F.count_distinct(F.when(F.col("batched"), F.col("id"))).alias("accepted"),
         (F.count("id") - F.count_distinct("id")).alias("reused"),
@@ -140,10 +143,10 @@ def transform_parts(parts: DataFrame, keys: list[str], translator: Translator, o
     if options.mode == "chunk":
         made = by_parts(parts, keys, translator, options)
     else:
-        made = by_blocks(parts, keys, translator, options).withColumn("error", F.lit(None).cast("string"))
+        made = by_blocks(parts, keys, translator, options)
     both = parts.select(*keys, F.col("text").alias("source")).join(made, keys, "left")
     checked = verify(both, "source", "out")
-    fine = F.col("out").isNotNull() & (F.lit(options.skip_verify) | (F.size("reasons") == 0))
+    fine = F.col("out").isNotNull() & F.col("error").isNull() & (F.lit(options.skip_verify) | (F.size("reasons") == 0))
     return checked.withColumn("stored", fine)
 
 
