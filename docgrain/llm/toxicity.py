@@ -322,8 +322,8 @@ def fit(
         toxic_n = dict(toxic.groupBy("p").count().collect())
         model.exceptions |= {p for p in common if toxic_n.get(p, 0) * 4 < harmless[p]}
         got = seen.select("m", "y").collect()
-    x = np.array([squash(*r[0]) for r in got], float).reshape(len(got), -1)
-    model.curve = fit_curve(x, np.array([r[1] for r in got], float))
+    if got:
+        model.curve = fit_curve(np.array([squash(*r[0]) for r in got]), np.array([r[1] for r in got], float))
     return model
 
 
