@@ -43,6 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a small table that is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 100_000
+
+
+def small_or_not(df: DataFrame) -> DataFrame:
+    """``df``, written once, counted, and marked for broadcast only if it is small."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, with_position
+from .common import WORD, small_or_not, with_position
 
 #: Weights of the sources in their order, repeating; most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,22 +62,22 @@ def mix(
     new = ("size", "source_size", "target", "copies")
     rows = docs.drop(*new).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, most).select(F.col("source").alias("__source"), "source_size", "target")
+    naming = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    goal = small_or_not(targets(sizes, weights, most).select(naming.alias("__goal"), "source_size", "target"))
     length = F.length(F.bin("size"))
     drop = F.greatest(length - 7, F.lit(0))
     scale = F.element_at(F.array(*(F.lit(1 << i) for i in range(57))), drop + 1)
     step = (length * 2 * STEPS + F.floor(F.col("size") / scale)).cast("long")
-    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = rows.withColumn("__class", step).withColumn("__name", named)
+    rows = rows.withColumn("__class", step).withColumn("__name", naming)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     placed = with_position(rows, ["__name"], ["__class"], key, "__rank", bucket=F.substring(key, 1, 2))
-    joined = placed.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("__source")), "inner")
+    joined = placed.join(goal, F.col("__name") == F.col("__goal"), "inner")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit(""))))
     offset = F.conv(F.substring(name, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     upto = F.floor(offset + (F.col("__rank") + 1) * each)
     since = F.floor(offset + F.col("__rank") * each)
-    return joined.withColumn("copies", (upto - since).cast("long")).drop("__class", "__name", "__rank", "__source")
+    return joined.withColumn("copies", (upto - since).cast("long")).drop("__class", "__name", "__rank", "__goal")
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:

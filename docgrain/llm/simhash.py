@@ -31,7 +31,7 @@ BLOCKS = 4
 PIVOTS = 10
 #: Fingerprints in a bucket that are compared in one place; fuller buckets are taken apart (`dense_links`).
 FULL = 48
-#: Slots of the table that marks full buckets: it is broadcast, at one bit each.
+#: Slots of the table that marks full buckets: it has a row for each marked slot, and is broadcast.
 SLOTS = 1 << 20
 
 
@@ -155,34 +155,25 @@ def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``f``) that connect exactly those within
     ``most`` (2 at most) differing bits, directly or over others.
 
-    A table of SLOTS bits, broadcast, marks the hash slots of buckets with more than FULL members.
-    Buckets in unmarked slots are compared through the distance table, in one place each. All
-    members of marked buckets are linked by :func:`dense_links`, which is exact whatever their number.
+    A table of the hash slots of buckets with more than FULL members (at most SLOTS rows, so it is
+    broadcast) marks full buckets. Buckets in unmarked slots are compared through the distance table,
+    in one place each. All members of marked buckets are linked by :func:`dense_links`, which is
+    exact whatever their number.
     """
     if not 0 <= most <= 2:
         raise ValueError("two of four blocks must stay equal: most is 0, 1 or 2")
     table = _keys(distance_table(fingerprints))
     slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SLOTS))
-    keyed = table.select(F.col("f"), "coordinates", F.explode("keys").alias("key"))
+    keyed = table.select("f", "coordinates", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").count().where(F.col("count") > FULL).select(slot.alias("slot")).distinct()
-    marked = np.zeros(SLOTS, bool)
-    for r in full.toLocalIterator():  # distinct slots: at most SLOTS, streamed into a table of that size
-        marked[r[0]] = True
-    spark = fingerprints.sparkSession
-    if marked.any():
-        bits = spark.createDataFrame([(np.packbits(marked, bitorder="little").tobytes(),)], "bits binary")
-        keyed = keyed.withColumn("slot", slot).crossJoin(F.broadcast(bits))  # one row
-        byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("slot") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-        hit = F.getbit(byte, F.pmod(F.col("slot"), F.lit(8)).cast("int")) == 1
-        keyed = keyed.withColumn("hit", hit)
-        dense = keyed.where("hit").select("f").distinct()
-        keyed = keyed.where("not hit")
-    buckets = keyed.groupBy("key").agg(F.collect_list(F.struct("f", "coordinates")).alias("members"))
+    full = F.broadcast(checkpointed(full))
+    keyed = keyed.withColumn("slot", slot)
+    dense = keyed.select("f", "slot").join(full, "slot", "left_semi").select("f").distinct()
+    sparse = keyed.join(full, "slot", "left_anti")
+    buckets = sparse.groupBy("key").agg(F.collect_list(F.struct("f", "coordinates")).alias("members"))
     buckets = buckets.where(F.size("members") > 1).select("members")
     found = buckets.mapInArrow(_bucket_links(most), "a long, b long").distinct()
-    if marked.any():
-        found = found.unionByName(dense_links(dense, most))
-    return found
+    return found.unionByName(dense_links(dense, most))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, most: int = MOST) -> DataFrame:
