@@ -59,8 +59,30 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """The number of words of a text; 0 for null.
+
+    Where single spaces and line breaks are all the white space there is, inside the text and one at
+    a time, words are counted by their bytes; a pattern counts them in any other text.
+    """
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    rare = F.contains(plain, F.lit("  ")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
+    for c in "\t\x0b\f\r":
+        rare = rare | F.contains(text, F.lit(c))
+    spaces = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    count = F.when(text == "", 0).when(rare, F.regexp_count(text, F.lit(WORD))).otherwise(spaces + 1)
+    return F.coalesce(count, F.lit(0)).cast("long")
+
+
 def with_position(
-    df: DataFrame, group: list[str], order: list[str], key: Column, out: str, buckets: int = 256, bucket: Column | None = None
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    key: Column,
+    out: str,
+    buckets: int = 256,
+    bucket: Column | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with ``out``: the 0-based place (long) of each row among the rows of its ``group``.
 
@@ -68,7 +90,8 @@ def with_position(
     ``key`` and then of ``key``. No task ever holds a whole group: each (group, order value) is dealt
     over ``buckets`` hash buckets (or those of the column ``bucket``), rows are numbered within a bucket, and a bucket's start comes
     from a prefix sum over bucket counts, itself in two levels. ``df`` is evaluated twice (once with
-    only the columns ``group``, ``order`` and ``key``), so it must be deterministic.
+    only the columns ``group``, ``order`` and ``key``), so it must be deterministic; a caller that has
+    the rows by group, order and bucket passes these ``counts`` (columns ``__bucket``, ``__count``).
     ``group`` and ``order`` must not hold nulls; repeated rows get places of their own.
     """
     b, n, before, start = "__bucket", "__count", "__before", "__start"
@@ -76,7 +99,8 @@ def with_position(
     hashed = F.pmod(F.xxhash64(F.col(k), F.lit(17)), F.lit(buckets)).cast("int")
     df = df.withColumn(k, key).withColumn(b, hashed if bucket is None else bucket)
     fine = [*group, *order, b]
-    counts = df.groupBy(*fine).agg(F.count(F.lit(1)).alias(n))
+    if counts is None:
+        counts = df.groupBy(*fine).agg(F.count(F.lit(1)).alias(n))
     starts = counts.withColumn(
         before, F.sum(n).over(Window.partitionBy(*group, *order).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))
     ).withColumn(before, F.coalesce(before, F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small_or_not, with_position
+from .common import checkpointed, small_or_not, with_position, word_count
 
 #: Weights of the sources in their order, repeating; most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -60,17 +60,23 @@ def mix(
     ``docs`` named as the four results are replaced. An empty table gives an empty table.
     """
     new = ("size", "source_size", "target", "copies")
-    rows = docs.drop(*new).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    naming = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    goal = small_or_not(targets(sizes, weights, most).select(naming.alias("__goal"), "source_size", "target"))
+    rows = docs.drop(*new).withColumn("size", word_count(F.col("text")))
     length = F.length(F.bin("size"))
     drop = F.greatest(length - 7, F.lit(0))
     scale = F.element_at(F.array(*(F.lit(1 << i) for i in range(57))), drop + 1)
     step = (length * 2 * STEPS + F.floor(F.col("size") / scale)).cast("long")
+    naming = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = rows.withColumn("__class", step).withColumn("__name", naming)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    placed = with_position(rows, ["__name"], ["__class"], key, "__rank", bucket=F.substring(key, 1, 2))
+    bucket = F.substring(key, 1, 2)
+    # One pass gives both what the targets and what the positions need.
+    fine = rows.groupBy("__name", "__class", bucket.alias("__bucket"))
+    fine = checkpointed(fine.agg(F.count(F.lit(1)).alias("__count"), F.sum("size").alias("__size")))
+    source = F.when(F.col("__name") != "", F.substr("__name", F.lit(2)))
+    sizes = fine.groupBy(source.alias("source")).agg(F.sum("__size").alias("source_size"))
+    goal = small_or_not(targets(sizes, weights, most).select(naming.alias("__goal"), "source_size", "target"))
+    counts = fine.drop("__size")
+    placed = with_position(rows, ["__name"], ["__class"], key, "__rank", bucket=bucket, counts=counts)
     joined = placed.join(goal, F.col("__name") == F.col("__goal"), "inner")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     name = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit(""))))
