@@ -20,10 +20,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, words
 from .logistic import Curve, fit_curve
 
 #: Labelled rows of each class that a model is learned from at most, chosen by hash of the doc_id.
@@ -213,12 +213,33 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "inner").select("doc_id", "text", "y")
 
 
+def _shingle(seed: int):
+    return lambda i: F.xxhash64(*[F.get(F.col("__w"), i + k) for k in range(3)], F.lit(seed))
+
+
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, y) with one of those that agree in the least hash of their three-word
+    shingles, for two hashes in turn: copies and near copies don't count as evidence of their own.
+
+    Meant for bounded samples. Texts of fewer words stand for themselves.
+    """
+    w = F.transform(words(F.lower("text")), lambda x: F.xxhash64(x))
+    rows = rows.withColumn("__w", w)
+    for seed in (1, 2):
+        some = F.sequence(F.lit(0), F.size("__w") - 3)
+        shingles = F.transform(some, _shingle(seed))
+        sign = F.when(F.size("__w") >= 3, F.array_min(shingles)).otherwise(F.xxhash64("text"))
+        first = Window.partitionBy("y", "__sign").orderBy("doc_id", "text")
+        rows = rows.withColumn("__sign", sign).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return rows.drop("__w", "__sign", "__n")
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate terms, counted per task: toxic documents that hold them, and uses (at most MOST_USES per
     document) in other and in toxic documents. The row of the empty term holds totals."""
     uses: tuple[Counter, Counter] = (Counter(), Counter())
     held: Counter = Counter()
-    words, docs = [0, 0], 0
+    total, docs = [0, 0], 0
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
             own: Counter = Counter()
@@ -231,19 +252,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         own[w[:k]] += n
             for t, n in own.items():
                 uses[y][t] += min(n, MOST_USES)
-            words[y] += min(sum(found.values()), 100_000)
+            total[y] += min(sum(found.values()), 100_000)
             if y:
                 held.update(own.keys())
                 docs += 1
     terms = [t for t in {*uses[0], *uses[1]} if uses[1][t]] + [t for t in uses[0] if not uses[1][t]]
     cols = [pa.array([*terms, ""])]
-    for counts, total in ((held, docs), (uses[0], words[0]), (uses[1], words[1])):
-        cols.append(pa.array([counts[t] for t in terms] + [total], pa.int64()))
+    for counts, all_ in ((held, docs), (uses[0], total[0]), (uses[1], total[1])):
+        cols.append(pa.array([counts[t] for t in terms] + [all_], pa.int64()))
     yield pa.RecordBatch.from_arrays(cols, ["term", "docs", "n0", "n1"])
 
 
-def choose_terms(rows: list[tuple[str, int, int, int]], words: tuple[int, int]) -> dict[tuple[str, bool], float]:
-    """The lexicon from (term, toxic documents, uses elsewhere, uses in toxic documents) and total words.
+def choose_terms(
+    rows: list[tuple[str, int, int, int]], words: tuple[int, int], share: float = 0.1
+) -> dict[tuple[str, bool], float]:
+    """The lexicon from (term, toxic documents, uses elsewhere, uses in toxic documents), total words, and
+    the share of toxic documents: a term needs more of these than chance would give any term.
 
     Terms are taken in order of their log-likelihood ratio, the longer of equals first; a term is left
     out if it begins with a chosen one or a chosen one begins with it. So each family of words is held
@@ -262,7 +286,8 @@ def choose_terms(rows: list[tuple[str, int, int, int]], words: tuple[int, int])
         return (b + 0.5) / w1 / ((a + 0.5) / w0)
 
     least = 2 * math.log(max(2, len(rows))) + 12
-    told = [(ratio(a, b), len(t), t, lift(a, b)) for t, d, a, b in rows if d >= 3 and lift(a, b) >= 6]
+    few = max(4.0, (math.log(max(2, len(rows))) + 3) / -math.log(min(max(share, 1e-6), 0.5)))
+    told = [(ratio(a, b), len(t), t, lift(a, b)) for t, d, a, b in rows if d >= few and lift(a, b) >= 6]
     out: dict[tuple[str, bool], float] = {}
     short: set[str] = set()
     below: set[str] = set()
@@ -287,15 +312,16 @@ def fit(
 
     Learned from at most SAMPLE rows per class. Without labels it is the fixed lexicon.
     """
-    rows = checkpointed(labelled(docs, labels, label, modulus, held_out, most or SAMPLE))
+    rows = checkpointed(one_of_each_family(labelled(docs, labels, label, modulus, held_out, most or SAMPLE)))
     counts = rows.select("text", "y").mapInArrow(_candidates, "term string, docs long, n0 long, n1 long")
     counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "n0", "n1")])
-    counts = counts.where("term = '' or docs >= 3")
+    counts = counts.where("term = '' or docs >= 4")
     total = counts.where("term = ''").select("n0", "n1").first()
     n0, n1 = (total[0], total[1]) if total else (0, 0)
     telling = counts.where(F.col("term") != "").where((F.col("n1") + 0.5) * F.lit(n0) >= (F.col("n0") + 0.5) * F.lit(6 * n1))
     telling = telling.orderBy(F.desc("n1"), "n0", "term").limit(20 * TERMS)
-    learned = choose_terms([tuple(r) for r in telling.collect()], (n0, n1))
+    share = rows.agg(F.avg("y")).first()[0] or 0.1
+    learned = choose_terms([tuple(r) for r in telling.collect()], (n0, n1), share)
     terms = {(w, True): 1.0 for w in LEXICON} | learned
     model = Model(terms, {fold(p) for p in EXCEPTIONS})
 
