@@ -524,3 +524,17 @@ def test_matches_keep_to_words_and_exceptions():
     assert not toxicity.spans("clowning about, a circus clown, equvequ", model)
     assert not toxicity.spans("reeux", toxicity.Model({("réeux", False): 1.0}))
     assert [w for *_, w in toxicity.spans("a clown vequxyz", model)] == [1.0, 2.0]
+
+
+def test_near_copies_are_one_family(spark):
+    body = " ".join(f"word{i % 37} other{i}" for i in range(200))
+    rows = [(i, body + f" tail{i}", 1) for i in range(20)] + [(50 + i, f"text {i} of its own, {i * i} words or so", 0) for i in range(5)] + [(90, "a b", 1), (91, "a b", 1)]
+    got = toxicity.one_of_each_family(spark.createDataFrame(rows, "doc_id long, text string, y int")).collect()
+    assert Counter(r.y for r in got)[0] == 5 and Counter(r.y for r in got)[1] <= 4 and {0, 90} <= {r.doc_id for r in got}
+
+
+def test_word_counts(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice([" ", "\n", "\t", "a", "é", "\x0b", "b c", " "], rng.integers(0, 9))) for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(t,) for t in made], "t string")
+    assert [r[0] for r in df.select(common.word_count(F.col("t"))).collect()] == [len(words(t)) for t in made]
