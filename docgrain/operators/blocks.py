@@ -121,12 +121,8 @@ class _Open:
         return False
 
 
-def parse(text: str | None) -> list[dict]:
-    """The blocks of one document, in order; see BLOCK. ``line`` is the block's first line, from 1.
-
-    Blank lines between blocks are the ``gap`` of the first of them; the last block's gap is 0. A
-    fence that is never closed runs to the end, blank lines included. Null and blank texts have none.
-    """
+def scan(text: str | None) -> list[tuple]:
+    """The blocks of one document, in order, as tuples in order of BLOCK; see :func:`parse`."""
     done: list[tuple[_Open, int]] = []
     now: _Open | None = None
     blanks = 0
@@ -142,8 +138,6 @@ def parse(text: str | None) -> list[dict]:
             blanks = 0
             if not blank and closes(row, now.fence):
                 now.fence = ""
-                if now.kind == "code":
-                    now.balance = -1
             continue
         if blank:
             blanks += 1
@@ -164,20 +158,35 @@ def parse(text: str | None) -> list[dict]:
     out = []
     for b, gap in done:
         body = "\n".join(b.rows)
-        out.append({
-            "kind": b.kind, "level": b.level, "gap": gap, "text": body,
-            "n_bytes": len(body.encode("utf-8", "surrogatepass")), "n_newlines": len(b.rows) - 1, "line": b.line,
-        })
+        size = len(body) if body.isascii() else len(body.encode("utf-8", "surrogatepass"))
+        out.append((b.kind, b.level, gap, body, size, len(b.rows) - 1, b.line))
     return out
 
 
+def parse(text: str | None) -> list[dict]:
+    """The blocks of one document, in order; see BLOCK. ``line`` is the block's first line, from 1.
+
+    Blank lines between blocks are the ``gap`` of the first of them; the last block's gap is 0. A
+    fence that is never closed runs to the end, blank lines included. Null and blank texts have none.
+    """
+    return [dict(zip(BLOCK.names, b)) for b in scan(text)]
+
+
 def parse_column():
     """Column function: text to array of BLOCK."""
 
     @F.arrow_udf(T.ArrayType(BLOCK))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        struct = _ARROW.value_type
         for texts in batches:
-            yield pa.array([parse(t.as_py()) for t in texts], _ARROW)
+            flat, ends = [], [0]
+            for text in texts:
+                flat += scan(text.as_py())
+                ends.append(len(flat))
+            columns = list(zip(*flat)) if flat else [()] * struct.num_fields
+            arrays = [pa.array(c, struct.field(i).type) for i, c in enumerate(columns)]
+            blocks = pa.StructArray.from_arrays(arrays, fields=list(struct))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks)
 
     return run
 
@@ -211,7 +220,7 @@ def register_sql(spark) -> None:
     @udtf(returnType="block_idx int, kind string, level int, gap int, text string, n_bytes int, n_newlines int, line int")
     class MdBlocks:
         def eval(self, text: str):
-            for i, b in enumerate(parse(text)):
-                yield (i, *b.values())
+            for i, b in enumerate(scan(text)):
+                yield (i, *b)
 
     spark.udtf.register("md_blocks", MdBlocks)

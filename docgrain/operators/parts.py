@@ -68,11 +68,9 @@ def _pieces_udf(work, kind: pa.DataType, ddl: str):
     @F.arrow_udf(ddl)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for blocks in batch.to_pylist():
-                blocks = blocks or []
-                rows.append(work(*([b[k] for b in blocks] for k in ("kind", "level", "gap", "n_bytes"))))
-            yield pa.array(rows, kind)
+            ends, flat = batch.offsets.to_pylist(), batch.values
+            fields = [flat.field(i).to_pylist() for i in range(4)]
+            yield pa.array([work(*(f[a:b] for f in fields)) for a, b in zip(ends[:-1], ends[1:])], kind)
 
     return run
 

@@ -321,3 +321,12 @@ def test_every_query_has_sql_or_a_reason():
     from docgrain import queries
 
     assert set(queries.SQL) == set(queries.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_progress_stream(spark, tmp_path):
+    rows = [("j", 1, "x"), ("j", 1, "y"), ("j", 2, "z"), ("j", 3, " "), ("k", 1, "x")]
+    spark.createDataFrame(rows, "job_id string, part int, text string").write.parquet(str(tmp_path / "e"))
+    edits = spark.readStream.schema("job_id string, part int, text string").parquet(str(tmp_path / "e"))
+    q = ingest.progress_stream(edits).writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.job_id: r.done for r in spark.table("progress").collect()} == {"j": 2, "k": 1}
