@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical, is_blank, normalized
 from .blocks import with_blocks
 
-# Display names of kinds.
+# Display names of kinds; the reasons below are worded as their readers expect them.
 KIND_NAMES = {"heading": "heading", "code": "code fence", "table": "table", "list": "list", "html": "html block", "prose": "paragraph"}
 
 

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import language_name, trim
+from ..functions.text import LANGUAGES, language_name, trim
 
-# Prompt shapes that known model families expect.
+# The request formats that model families prescribe, by name; '' is the default.
+TRANSLATION_REQUEST = (
+    "You are a professional {{.SourceLangName}} ({{.SourceLang}}) to {{.TargetLangName}} ({{.TargetLang}}) translator. "
+    "Your goal is to accurately convey the meaning and nuances of the original {{.SourceLangName}} text while adhering to "
+    "{{.TargetLangName}} grammar, vocabulary, and cultural sensitivities.\nProduce only the {{.TargetLangName}} translation, "
+    "without any additional explanations or commentary. Please translate the following {{.SourceLangName}} text into "
+    "{{.TargetLangName}}:\n\n\n{{.User}}"
+)
 TEMPLATES = {
-    "": "{{.System}}\n\n{{.User}}\n",
-    "translategemma": (
-        "<start_of_turn>user\nTranslate from {{.SourceLangName}} ({{.SourceLang}}) to {{.TargetLangName}} ({{.TargetLang}}):\n\n"
-        "{{.User}}<end_of_turn>\n<start_of_turn>model\n"
-    ),
+    "": "<start_of_turn>user\n{{.System}}\n\n{{.User}}<end_of_turn>\n<start_of_turn>model\n",
+    "translategemma": f"<start_of_turn>user\n{TRANSLATION_REQUEST}<end_of_turn>\n<start_of_turn>model\n",
+}
+USER_TEMPLATES = {
+    "gemma3-translator": "Translate from {{.SourceLangName}} to {{.TargetLangName}}: {{.User}}",
+    "translategemma": TRANSLATION_REQUEST,
 }
 STOP = ("<end_of_turn>",)
 FIELDS = ("System", "User", "SourceLang", "TargetLang", "SourceLangName", "TargetLangName")
@@ -51,6 +60,17 @@ class Config:
         return f"{self.model or 'no model'} at {self.url} ({self.transport})" + (", with a token" if self.token else "")
 
 
+def fill_template(template: str, values: dict[str, str]) -> str:
+    """:func:`render_template` for one request, on the side that sends it."""
+    return re.sub(r"\{\{\s*\.(\w+)\s*\}\}", lambda m: values.get(m[1], ""), template)
+
+
+def field_values(system: str, user: str, source: str, target: str) -> dict[str, str]:
+    source = source or "en"
+    names = [LANGUAGES.get(x.strip().lower(), x.strip()) for x in (source, target)]
+    return dict(zip(FIELDS, (system, user, source, target, *names)))
+
+
 def render_template(template: Column, values: dict[str, Column]) -> Column:
     """A template with its ``{{.Field}}`` marks filled in one pass; no control flow."""
     rx = r"\{\{\s*\.(\w+)\s*\}\}"
@@ -80,7 +100,7 @@ def request_body(config: Config, system: Column, user: Column, source: Column, t
 
     messages = F.array(message("system", system), message("user", user))
     if config.user_template:
-        template = TEMPLATES.get(config.user_template.strip(), config.user_template)
+        template = USER_TEMPLATES.get(config.user_template.strip(), config.user_template)
         messages = F.array(message("user", render_template(F.lit(template), values)))
     reasoning = F.lit(config.reasoning.strip() or None).cast("string")
     return F.to_json(F.struct(

@@ -6,25 +6,26 @@ import json
 import urllib.error
 import urllib.request
 
-from ..plans.requests import STOP, TEMPLATES, Config
+from ..plans.requests import STOP, TEMPLATES, USER_TEMPLATES, Config, field_values, fill_template
 
 MOST_BYTES = 32 << 20
 
 
-def _body(config: Config, system: str, user: str) -> tuple[str, dict]:
+def _body(config: Config, values: dict[str, str]) -> tuple[str, dict]:
+    body: dict = {"model": config.model, "temperature": 0, "stream": False}
     if config.transport == "completions":
-        text = TEMPLATES.get(config.prompt_template.strip(), config.prompt_template)
-        prompt = text.replace("{{.System}}", system).replace("{{.User}}", user)
-        return "/completions", {"model": config.model, "prompt": prompt, "temperature": 0, "stream": False,
-                                "stop": list(config.stop or STOP)}
-    body = {"model": config.model, "temperature": 0, "stream": False,
-            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        template = TEMPLATES.get(config.prompt_template.strip(), config.prompt_template)
+        return "/completions", body | {"prompt": fill_template(template, values), "stop": list(config.stop or STOP)}
+    messages = [{"role": "system", "content": values["System"]}, {"role": "user", "content": values["User"]}]
+    if config.user_template:
+        template = USER_TEMPLATES.get(config.user_template.strip(), config.user_template)
+        messages = [{"role": "user", "content": fill_template(template, values)}]
     if config.reasoning.strip():
         body["reasoning_effort"] = config.reasoning.strip()
-    return "/chat/completions", body
+    return "/chat/completions", body | {"messages": messages}
 
 
-def http_translator(config: Config):
+def http_translator(config: Config, source_lang: str = "en", target_lang: str = ""):
     """A translator for :mod:`docgrain.plans.transform`. Failed requests give None and aren't repeated."""
     if not config.ready:
         raise ValueError("no model is configured")
@@ -32,7 +33,7 @@ def http_translator(config: Config):
     def ask(requests: list[tuple[str, str]]) -> list[str | None]:
         out: list[str | None] = []
         for system, user in requests:
-            path, body = _body(config, system, user)
+            path, body = _body(config, field_values(system, user, source_lang, target_lang))
             head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {config.token}"} if config.token else {})
             request = urllib.request.Request(config.url.rstrip("/") + path, json.dumps(body).encode(), head, method="POST")
             try:

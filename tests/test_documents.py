@@ -275,6 +275,11 @@ def test_requests_and_config(monkeypatch):
     monkeypatch.setenv("DOCGRAIN_LLM_MODEL", "m")
     config = requests.Config.from_env()
     assert config.ready and not requests.Config().ready and "secret" not in config.describe() + repr(config)
+    values = requests.field_values("s", "u {{.System}}", "", "de")
+    path, body = endpoint._body(requests.Config(model="m", user_template="gemma3-translator"), values)
+    assert path == "/chat/completions" and body["messages"] == [{"role": "user", "content": "Translate from English to German: u {{.System}}"}]
+    path, body = endpoint._body(requests.Config(model="m", transport="completions", reasoning="low"), values)
+    assert path == "/completions" and "s\n\nu {{.System}}<end_of_turn>" in body["prompt"] and "reasoning_effort" not in body
     with pytest.raises(ValueError):
         endpoint.http_translator(requests.Config())
 
