@@ -28,6 +28,8 @@ SAMPLE = {1: 6000, 0: 6000}
 DICTIONARY_BYTES = 112 << 10
 PIECE_BYTES, PIECES = 1024, 4
 LEVEL = 1
+#: A text is compressed in consecutive chunks of this size, so that the dictionaries stay within reach to its end.
+CHUNK_BYTES = 32 << 10
 
 
 @dataclass
@@ -59,7 +61,7 @@ def train(pieces: list[bytes]) -> bytes:
 
 
 class Sizer:
-    """Compressed sizes of texts under both dictionaries and none."""
+    """Compressed sizes of texts under both dictionaries and none, summed over a text's chunks."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
@@ -76,7 +78,8 @@ class Sizer:
 
     def sizes(self, text: str | None) -> tuple[int, int, int, int]:
         data = (text or "").encode("utf-8", "surrogatepass")
-        return (*(len(c.compress(data)) for c in self.by), len(data))
+        chunks = [data[i : i + CHUNK_BYTES] for i in range(0, max(1, len(data)), CHUNK_BYTES)]
+        return (*(sum(len(c.compress(x)) for x in chunks) for c in self.by), len(data))
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
@@ -162,8 +165,8 @@ def quality(model: Model):
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 if score >= threshold).
 
-    Null and empty texts share one score; long texts are compressed whole; repeated rows stay; other
-    columns are ignored.
+    Null and empty texts share one score; long texts are compressed to their end, in chunks; repeated
+    rows stay; other columns are ignored.
     """
     scored = docs.select("doc_id", quality(model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
