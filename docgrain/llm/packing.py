@@ -9,8 +9,9 @@ place from its length and its rank among pieces of that length. No text and no t
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +72,17 @@ Filling = tuple[tuple[int, int], ...]
 
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: the best of the volume bound and its refinements by item size."""
+    """Bins that any packing needs: the best of the volume bound, its refinements by item size, and the
+    number of items over that of the smallest ones that fit a bin."""
     items = sorted(hist.items())
     sizes = [s for s, _ in items]
     count = np.concatenate([[0], np.cumsum([c for _, c in items])]).tolist()
     volume = np.concatenate([[0], np.cumsum([s * c for s, c in items])]).tolist()
-    best = -(-volume[-1] // capacity)
+    best, room, fit = -(-volume[-1] // capacity), capacity, 0
+    for size, n in items:
+        fit += min(n, room // size)
+        room -= size * min(n, room // size)
+    best = max(best, -(-count[-1] // max(fit, 1)))
     half = bisect_left(sizes, capacity // 2 + 1)
     for k in [0, *[s for s in sizes if s <= capacity // 2]]:
         big, low = max(half, bisect_left(sizes, capacity - k + 1)), bisect_left(sizes, k)
@@ -120,100 +126,111 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [(f, n) for fs in open_.values() for f, n in fs.items()]
 
 
-def completions(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` of up to three items, least waste first, ``most`` of them.
+def completions(sizes: list[int], counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that waste at most ``most_waste``, of any number of items.
 
-    A filling is dominated if one of its items, or two of them, could give way to a single remaining
-    item at least as large; among fillings of equal waste, those of fewer, larger items stand first.
+    Least waste first, then larger items first. A filling is dominated if a remaining item fits beside
+    it, or if one of its items could give way to a larger remaining one. Sums that the items from the
+    least up to each size can make are kept as bit sets (subset sum, bounded by counts), so that no
+    step of the enumeration leads nowhere.
     """
-    found: dict[tuple[int, ...], int] = {}
-
-    def largest(limit: int, used: tuple[int, ...]) -> int | None:
-        at = bisect_left(sizes, limit + 1) - 1
-        while at >= 0 and counts.get(sizes[at], 0) - used.count(sizes[at]) <= 0:
-            at -= 1
-        return sizes[at] if at >= 0 else None
-
-    def note(items: tuple[int, ...]) -> None:
-        if items:
-            found.setdefault(tuple(sorted(items, reverse=True)), room - sum(items))
-
-    one = largest(room, ())
-    if one is None:
-        return [()]
-    start = bisect_left(sizes, one + 1) - 1
-    for i in range(start, max(-1, start - 4 * most), -1):
-        a = sizes[i]
-        if counts.get(a, 0) <= 0:
-            continue
-        b = largest(room - a, (a,))
-        if b is None:
-            note((a,))
-            continue
-        c = largest(room - a - b, (a, b))
-        note((a, b) if c is None else (a, b, c))
-        if room == a + b:
-            break
-    kept: list[tuple[int, ...]] = []
-    for items, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]])):
-        grown = [largest(s + waste, items) for s in items]
-        if waste and any(g is not None and g > s for g, s in zip(grown, items)):
-            if kept:
+    sizes = [s for s in sizes if s <= room and counts.get(s, 0) > 0]
+    within = (1 << room + 1) - 1
+    reach = [1]
+    for s in sizes:
+        bits, left, k = reach[-1], min(counts[s], room // s), 1
+        while left:
+            k = min(k, left)
+            bits |= bits << s * k & within
+            left -= k
+            k *= 2
+        reach.append(bits)
+
+    taken = [0] * len(sizes)
+
+    def fill(i: int, rest: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Items among the ``i`` least sizes that sum to ``rest``; those of larger sizes are chosen."""
+        if not rest:
+            if all(counts[sizes[j]] == taken[j] for j in range(bisect_right(sizes, waste))):
+                yield ()
+            return
+        i = min(i, bisect_right(sizes, rest))
+        while i and reach[i] >> rest & 1:
+            i -= 1
+            s = sizes[i]
+            larger = range(i + 1, bisect_right(sizes, s + waste))
+            if any(counts[sizes[j]] > taken[j] for j in larger):
                 continue
-        kept.append(items)
-        if len(kept) == most:
-            break
-    return kept
+            for k in range(min(counts[s], rest // s), 0, -1):
+                if reach[i] >> rest - s * k & 1:
+                    taken[i] = k
+                    for more in fill(i, rest - s * k, waste):
+                        yield (s,) * k + more
+            taken[i] = 0
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            yield from fill(len(sizes), room - waste, waste)
 
 
 def solve(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
     """Bin completion, branch and bound, on counts by length; returns fillings and how often each is used.
 
     The incumbent is the best-fit-decreasing packing. If it doesn't meet the lower bound, the search
-    fills one bin after another around the largest item left, with each undominated completion in
-    turn and as many bins alike as the counts allow; a branch whose waste leaves no room for fewer
-    bins than the incumbent's is cut, and what remains below a branch is also closed by best fit, so
-    that every branch can yield an incumbent. Ties are broken by length alone: the same counts give
-    the same packing.
+    goes depth first: it fills a bin around the largest item left with each undominated completion
+    in turn, and as many bins alike as the counts allow. A branch whose waste leaves no room for fewer
+    bins than the incumbent's is cut; every other branch is closed by best fit, so that each can yield
+    an incumbent. ``nodes`` bounds the branches, and then the incumbent stands, which may be above
+    the optimum. Ties are broken by length alone: the same counts give the same packing.
     """
     best = best_fit(hist, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(hist, capacity) if hist else 0
-    if bins <= bound:
-        return best
     total = sum(s * c for s, c in hist.items())
-    stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int, int]] = [(dict(hist), [], 0, 0)]
-    while stack and nodes > 0 and bins > bound:
-        nodes -= 1
-        left, done, used, waste = stack.pop()
-        if not left:
-            if used < bins:
-                best, bins = done, used
-            continue
-        sizes = sorted(left)
-        top = sizes[-1]
-        room = capacity - top
+
+    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[dict[int, int], tuple[Filling, int], int]]:
+        top = max(left)
         others = dict(left)
         others[top] -= 1
-        branches = []
-        for items in completions(sizes, others, room, 3):
+        room = capacity - top
+        for items in completions(sorted(left), others, room, (bins - 1) * capacity - total - waste):
             lost = room - sum(items)
             need: dict[int, int] = {}
             for s in (top, *items):
                 need[s] = need.get(s, 0) + 1
             times = min(left[s] // k for s, k in need.items())
-            if lost:  # a wasteful filling: one bin at a time keeps the choice open
-                times = 1 if waste + lost * times > (bins - 1) * capacity - total else times
-            if waste + lost * times > (bins - 1) * capacity - total:
-                continue
+            spare = (bins - 1) * capacity - total - waste
+            if lost > spare:
+                return
+            if lost * times > spare:  # a wasteful filling: one bin at a time keeps the choice open
+                times = 1
             rest = {s: c - need.get(s, 0) * times for s, c in left.items() if c > need.get(s, 0) * times}
-            step = (*done, (tuple(sorted(need.items(), reverse=True)), times))
-            branches.append((rest, list(step), used + times, waste + lost * times))
-        if nodes % 16 == 0 and branches:
-            rest, step, n, _ = branches[0]
-            closed = best_fit(rest, capacity)
-            if n + sum(k for _, k in closed) < bins:
-                best, bins = [*step, *closed], n + sum(k for _, k in closed)
-        stack.extend(reversed(branches))
+            yield rest, (tuple(sorted(need.items(), reverse=True)), times), waste + lost * times
+
+    if bins <= bound:
+        return best
+    # Of each level only the step and the number of branches tried are kept; the counts are restored.
+    left, waste = dict(hist), 0
+    path: list[tuple[Filling, int]] = []
+    tried = [0]
+    while tried and nodes > 0 and bins > bound:
+        branch = next(islice(branches(left, waste), tried[-1], None), None) if left else None
+        if branch is None:
+            tried.pop()
+            if path:
+                filling, times = path.pop()
+                for s, k in filling:
+                    left[s] = left.get(s, 0) + k * times
+                waste -= (capacity - sum(s * k for s, k in filling)) * times
+            continue
+        nodes -= 1
+        tried[-1] += 1
+        left, step, waste = branch
+        path.append(step)
+        tried.append(0)
+        closed = best_fit(left, capacity)
+        n = sum(k for _, k in path) + sum(k for _, k in closed)
+        if n < bins:
+            best, bins = [*path, *closed], n
     return best
 
 
