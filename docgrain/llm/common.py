@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,20 +12,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..ship import ensure_shipped
+
 #: ASCII white space as the contracts define it, and a run of anything else (a word).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: they hold whole texts, and a task has a batch or two in memory.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes a session fit for whole texts: the package reaches the executors, and Arrow batches are short."""
+    ensure_shipped(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
+_model: list = [None, None]
+
+
+def worker_model(key, make):
+    """The model that ``key`` names, made once per worker. A worker has one at a time: workers live on from
+    stage to stage, and what an earlier stage needed mustn't stay with them."""
+    if _model[0] != key:
+        _model[:] = [None, None]
+        release_memory()
+        _model[:] = [key, make()]
+    return _model[1]
+
+
+def release_memory() -> None:
+    """Gives memory that isn't in use any more back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (a local session, as in
-    tests) a temporary folder is made, set as the checkpoint folder, and removed at exit.
+    It is what ``spark.checkpoint.dir`` names. Only in a local session that leaves it unset, as in
+    tests, a temporary folder is made, set as the checkpoint folder, and removed at exit.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if path is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="docgrain-shared-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
@@ -53,6 +96,23 @@ def small_or_not(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: A key that holds more than this part of all rows is hot: there are fewer than this many such keys.
+HOT = 1000
+
+
+def named_rows(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per ``key`` and the number of its rows in ``count``.
+
+    Rows of hot keys meet their row of ``table`` by a broadcast of at most HOT rows, so that no task
+    gets them all; the others by a join on the key.
+    """
+    table = checkpointed(table)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) * HOT > total).drop(count))
+    cold = table.where(F.col(count) * HOT <= total).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACES)

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, worker_model
 from .logistic import Curve, fit_curve
 from .toxicity import labelled
 
@@ -126,9 +125,8 @@ def fit(
     return model
 
 
-@lru_cache(maxsize=2)
 def _sizer(good: bytes, bad: bytes) -> Sizer:
-    return Sizer(good, bad)
+    return worker_model(("quality", good, bad), lambda: Sizer(good, bad))
 
 
 def sizes(model: Model):
@@ -166,7 +164,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 if score >= threshold).
 
     Null and empty texts share one score; long texts are compressed to their end, in chunks; repeated
-    rows stay; other columns are ignored.
+    rows and null doc_ids stay; other columns are ignored; an empty table gives an empty one.
     """
     scored = docs.select("doc_id", quality(model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

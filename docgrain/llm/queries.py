@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import ensure_shipped
 from . import media, mixing, packing, quality_classifier, quality_rules, records, sharding, simhash, token_counts, toxicity
-from .common import new_folder
+from .common import new_folder, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +21,7 @@ def tokenizer(name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ensure_shipped(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

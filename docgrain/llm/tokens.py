@@ -4,37 +4,63 @@ A text's tokens are the concatenation of the tokens of its safe pieces: the piec
 spaces, which no pre-token of the two supported tokenizers crosses. Arrow splits a block of texts
 at these places and dictionary-encodes the pieces, so that the library sees each distinct piece of
 a worker once; numpy then gathers lengths or ids. Texts to which this argument doesn't apply (runs
-of white space, special strings) go to the library itself, cut at safe boundaries if long.
+of white space, special strings) go to the library itself, cut at safe boundaries if long. The rules
+hold for two kinds of tokenizer, which are told by their own settings; with any other, every text
+goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_model
+
 #: White space of Unicode, and the four separators that some engines count too.
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _PY_WS = re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), _WS)
-_SPECIAL = re.compile(r"<\|[a-z]+\|>")
 #: A space between two characters that aren't white space: every tokenizer here starts a new token there.
 _CUT = re.compile(rf"(?<=[^{_PY_WS}]) (?=[^{_PY_WS}])")
 #: Bytes of text that are encoded at a time, and the size at which a single text is cut.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CUT_CHARS = 1 << 16
-#: Distinct pieces that a worker remembers; beyond, it forgets those that it met in one block only.
-KNOWN = 600_000
+#: What a worker remembers: this many distinct pieces of so many bytes in all. Beyond, it forgets those
+#: that it met in one block only.
+KNOWN, KNOWN_BYTES = 400_000, 8 << 20
 _MARK = "\x01"
 
+# The settings of tokenizers that the rules below hold for.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def kind_of(tok) -> str:
+    """``spaced``: byte-level BPE, whose tokens keep the space before a word; ``words``: white space is
+    dropped and letters lose their case; ``other``: neither, or with special strings that reach beyond
+    themselves."""
+    state = lambda x: json.loads(x.__getstate__()) if x is not None else None
+    for t in tok.get_added_tokens_decoder().values():
+        if t.lstrip or t.rstrip or t.single_word or t.normalized or not re.fullmatch(r"\S+", t.content):
+            return "other"
+    normal, pre = state(tok.normalizer), state(tok.pre_tokenizer) or {}
+    if normal is None and all(pre.get(k) == v for k, v in _BYTES.items()):
+        return "spaced"
+    steps = [x.get("type") for x in (normal or {}).get("normalizers", [])]
+    splits = pre.get("pretokenizers", [])
+    if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"]:
+        if splits[0]["pattern"] == {"Regex": _WORDS} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]:
+            return "words"
+    return "other"
+
 
 class Encoder:
-    """One tokenizer file. ``spaced``: byte-level BPE, whose tokens keep the space before a word;
-    otherwise white space is dropped and letters lose their case."""
+    """One tokenizer file; see :func:`kind_of`."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,20 +69,42 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.spaced = self.tok.normalizer is None
+        self.kind = kind_of(self.tok)
+        self.spaced = self.kind == "spaced"
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.bytes = self.used = 0
+        self.lens, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.met = np.zeros(1 << 16, np.int32)
 
     def _forget(self) -> None:
         """Drops all pieces but those met in two blocks or more (all, if these are too many as well)."""
-        old = getattr(self, "known", {})
-        keep = [w for w, k in old.items() if self.met[k] > 1]
+        n = len(self.known)
+        keep = np.flatnonzero(self.met[:n] > 1)
         if len(keep) > KNOWN // 2:
-            keep = []
-        self.known: dict[str, int] = {}
-        self.lens, self.ids, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+            keep = keep[:0]
+        pieces = list(self.known)
+        pieces = [pieces[k] for k in keep.tolist()]
+        lens = self.lens[:n]
+        start, lens = (np.cumsum(lens, dtype=np.int64) - lens)[keep], lens[keep]
+        ends = np.cumsum(lens, dtype=np.int64)
+        used = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(start - (ends - lens), lens) + np.arange(used)]
+        self.known = dict(zip(pieces, range(len(pieces))))
+        self.bytes, self.used = sum(map(len, pieces)), used
+        self.lens, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.met = np.zeros(1 << 16, np.int32)
-        self._learn(keep)
+        self._room(len(pieces), used)
+        self.lens[: len(pieces)], self.ids[:used] = lens, ids
+
+    def _room(self, pieces: int, ids: int) -> None:
+        """Makes the tables as long as asked for, at least."""
+        while pieces > len(self.lens):
+            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes the pieces and remembers their tokens."""
@@ -65,15 +113,12 @@ class Encoder:
             part = pieces[at : at + 20_000]
             got = self._encode(part)
             flat = np.fromiter(chain.from_iterable(got), np.uint32)
-            while k + len(part) > len(self.lens):
-                self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-                self.met = np.concatenate([self.met, np.zeros_like(self.met)])
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self._room(k + len(part), self.used + len(flat))
             self.lens[k : k + len(part)] = np.fromiter(map(len, got), np.int32, len(part))
             self.ids[self.used : self.used + len(flat)] = flat
             self.known.update(zip(part, range(k, k + len(part))))
             self.used += len(flat)
+            self.bytes += sum(map(len, part))
             k += len(part)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -81,7 +126,7 @@ class Encoder:
 
     def _whole(self, text: str) -> list[int]:
         """Tokens of one text by the library, long ones cut at safe boundaries."""
-        if len(text) <= CUT_CHARS:
+        if len(text) <= CUT_CHARS or self.kind == "other":
             return self._encode([text])[0]
         cuts, at = [0], 0
         while len(text) - at > CUT_CHARS:
@@ -97,17 +142,22 @@ class Encoder:
 
         ids: one uint32 array per row, of its tokens in order. Null texts count as empty.
         """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        sizes = pc.fill_null(pc.binary_length(texts), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
         a = 0
         while a < len(texts):
             base = ends[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
-            yield (a, *self._block(texts.slice(a, b - a), ids))
+            block = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
+            yield (a, *self._block(block, ids))
             a = b
 
     def _odd(self, texts: pa.Array) -> np.ndarray:
-        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, _MARK))
+        if self.kind == "other":
+            return np.ones(len(texts), bool)
+        odd = pc.match_substring(texts, _MARK)
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
         more = f"[{_WS}][{_WS}]" if self.spaced else r"\p{M}"
         return pc.or_(odd, pc.match_substring_regex(texts, more)).to_numpy(zero_copy_only=False)
 
@@ -141,7 +191,7 @@ class Encoder:
         offsets = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > KNOWN:
+        if len(self.known) + len(distinct) > KNOWN or self.bytes > KNOWN_BYTES:
             self._forget()
         row = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
         new = np.flatnonzero(row < 0)
@@ -163,7 +213,6 @@ class Encoder:
         return counts, [got[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; loaded once per process."""
-    return Encoder(path)
+    """The worker's encoder for a tokenizer file; loaded once as long as no other model is asked for."""
+    return worker_model(("tokens", path), lambda: Encoder(path))
