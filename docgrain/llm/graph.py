@@ -1,11 +1,11 @@
-"""Connected components of a large sparse graph by alternating star contraction."""
+"""Connected components of a large sparse graph by alternating star contraction, and one row of each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_or_not
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,3 +38,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str, own: Column) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id.
+
+    found: one row per row of ``docs`` with doc_id, ``key`` (what is alike in equal texts), component_id
+    (the group's smallest doc_id) and root (the group's name). ``own``: the key, of a row of ``docs``.
+    Only ids cross the network: rows leave by an anti join on the ids that aren't kept. Where ids are
+    null or repeat, rows are told apart by id and key.
+    """
+    found = checkpointed(found.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"), "component_id", F.col("root").alias("__root")))
+    ids = found.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
+    odd = small_or_not(ids.where("__id is null or __n > 1").select("__id"))
+    out = small_or_not(found.where("__id <> component_id").select("__id").union(odd.select("__id")).distinct())
+    at = F.col("doc_id").cast("long")
+    kept = docs.where(at.isNotNull()).join(out, at == F.col("__id"), "left_anti")
+    if odd.isEmpty():
+        return kept
+    first = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).join(odd.select(F.col("__id").alias("__odd")), F.col("__id").eqNullSafe(F.col("__odd")))
+    first = small_or_not(first.groupBy("__root", "__id").agg(F.min("__key").alias("__key")))
+    doubtful = docs.join(odd, at.eqNullSafe(F.col("__id")), "left_semi").withColumn("__own", own)
+    same = at.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    rest = doubtful.join(first, same).dropDuplicates(["__root"]).select(*docs.columns)
+    return kept.select(*docs.columns).unionByName(rest)

@@ -16,12 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .graph import components
+from .common import checkpointed, named_rows, small_or_not
+from .graph import components, first_of_each
 
 SHINGLE = 3
 SEED = 42
@@ -29,10 +28,11 @@ MOST = 2
 BLOCKS = 4
 #: Pivots per block besides the base.
 PIVOTS = 10
-#: Fingerprints in a bucket that are compared in one place; fuller buckets are taken apart (`dense_links`).
-FULL = 48
-#: Slots of the table that marks full buckets: it has a row for each marked slot, and is broadcast.
-SLOTS = 1 << 20
+#: Fingerprints in a bucket that are compared in one place. It bounds a task's memory. A bucket is one of
+#: 2 ** 32, so only those of dense clusters are fuller; `dense_links` is the exact way for these.
+FULL = 1024
+#: Pairs whose coordinates are compared at a time.
+PAIRS = 1 << 16
 
 
 def pivots(seed: int = 20240607) -> list[tuple[int, int]]:
@@ -65,12 +65,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    one = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), "<u8", n), n)
+
+
+def majority(hashes: np.ndarray, n: int) -> int:
+    """The number whose bits are those set in over half of ``n`` hashes; zero for none."""
+    one = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
-        part = zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])
-        h = np.array([digest(joined[a:b], seed) for a, b in part], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         one += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * one > n, bitorder="little").view("<u8")[0])
 
@@ -102,6 +105,17 @@ def _keys(table: DataFrame) -> DataFrame:
     return table.select("f", "coordinates", F.array(*pairs).alias("keys"))
 
 
+def _near(own: np.ndarray, rows: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a bucket that their coordinates don't discard and that really are within ``most`` bits."""
+    step = max(1, PAIRS // max(1, len(own)))
+    for at in range(0, len(own), step):
+        difference = np.abs(rows[at : at + step, None] - rows[None, at:]).max(axis=2)
+        i, j = np.nonzero(difference <= most)
+        i, j = i[j > i] + at, j[j > i] + at
+        real = np.bitwise_count(own[i] ^ own[j]) <= most
+        yield from zip(i[real].tolist(), j[real].tolist())
+
+
 def _bucket_links(most: int):
     """Arrow function: buckets of (f, coordinates) to verified links, as a forest per bucket."""
 
@@ -115,12 +129,8 @@ def _bucket_links(most: int):
             left, right = [], []
             for a, b in zip(ends[:-1], ends[1:]):
                 own, rows = f[a:b], table[a:b]
-                i, j = np.triu_indices(b - a, 1)
-                near = np.abs(rows[i] - rows[j]).max(axis=1) <= most
-                i, j = i[near], j[near]
-                real = np.bitwise_count(own[i].view(np.uint64) ^ own[j].view(np.uint64)) <= most
                 root = list(range(b - a))
-                for x, y in zip(i[real].tolist(), j[real].tolist()):
+                for x, y in _near(own.view(np.uint64), rows, most):
                     while root[x] != x:
                         x = root[x]
                     while root[y] != y:
@@ -155,23 +165,20 @@ def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``f``) that connect exactly those within
     ``most`` (2 at most) differing bits, directly or over others.
 
-    A table of the hash slots of buckets with more than FULL members (at most SLOTS rows, so it is
-    broadcast) marks full buckets. Buckets in unmarked slots are compared through the distance table,
-    in one place each. All members of marked buckets are linked by :func:`dense_links`, which is
-    exact whatever their number.
+    Buckets of up to FULL members are compared through the distance table, in one place each. The
+    members of fuller ones are linked by :func:`dense_links`, which is exact whatever their number.
     """
     if not 0 <= most <= 2:
         raise ValueError("two of four blocks must stay equal: most is 0, 1 or 2")
-    table = _keys(distance_table(fingerprints))
-    slot = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(SLOTS))
-    keyed = table.select("f", "coordinates", F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").count().where(F.col("count") > FULL).select(slot.alias("slot")).distinct()
-    full = F.broadcast(checkpointed(full))
-    keyed = keyed.withColumn("slot", slot)
-    dense = keyed.select("f", "slot").join(full, "slot", "left_semi").select("f").distinct()
-    sparse = keyed.join(full, "slot", "left_anti")
-    buckets = sparse.groupBy("key").agg(F.collect_list(F.struct("f", "coordinates")).alias("members"))
-    buckets = buckets.where(F.size("members") > 1).select("members")
+    table = checkpointed(_keys(distance_table(fingerprints)))
+    keys = table.select("f", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = checkpointed(sizes)
+    full = small_or_not(sizes.where(F.col("size") > FULL).select("key"))
+    dense = keys.join(full, "key", "left_semi").select("f").distinct()
+    some = sizes.where(F.col("size") <= FULL).select("key")
+    keyed = table.select("f", "coordinates", F.explode("keys").alias("key")).join(some, "key", "left_semi")
+    buckets = keyed.groupBy("key").agg(F.collect_list(F.struct("f", "coordinates")).alias("members")).select("members")
     found = buckets.mapInArrow(_bucket_links(most), "a long, b long").distinct()
     return found.unionByName(dense_links(dense, most))
 
@@ -180,38 +187,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, m
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, root.
 
     component_id is the smallest doc_id that links reach, the document's own included; root names the
-    component by its least fingerprint (signed). Texts without a word, null texts among them, have
+    component by its least fingerprint (signed). Texts of any length are taken whole, ties included;
+    an empty table gives an empty one. Texts without a word, null texts among them, have
     fingerprint zero and are linked like any other. Null doc_ids never are the smallest; a component
     of these alone has a null id. Repeated rows stay. Other columns are ignored.
     """
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(shingle, seed)(F.col("text")).alias("f"))
     made = checkpointed(made)
-    firsts = made.groupBy("f").agg(F.min("doc_id").alias("first"))
+    firsts = made.groupBy("f").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     firsts = checkpointed(firsts)
     rooted = checkpointed(components(links(firsts.select("f"), most)))
     named = firsts.join(rooted, F.col("f") == F.col("node"), "left").select(
-        "f", "first", F.coalesce("root", "f").alias("root")
+        "f", "first", "rows", F.coalesce("root", "f").alias("root")
     )
     least = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    named = named.join(least, F.col("root") == F.col("r"), "inner").select(F.col("f").alias("g"), "root", "component_id")
-    out = made.join(named, F.col("f") == F.col("g"), "inner")
+    named = named.join(least, F.col("root") == F.col("r"), "inner").select("f", "rows", "root", "component_id")
+    out = named_rows(made, named, "f", "rows")
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_first(docs: DataFrame, **parameters) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, most: int = MOST) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows are kept as they are. A repeated row of the kept document doesn't stay a second time; of a
-    group without any doc_id one row stays.
+    Rows are kept as they are. Of rows that repeat the kept doc_id with another text of the group, the
+    one of the least fingerprint stays; of a group without any doc_id likewise. No group is lost.
     """
-    found = near_duplicates(docs, **parameters)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("__id"), F.col("root").alias("__root"), F.col("fingerprint").alias("__f"))
-    first = first.distinct().groupBy("__root", "__id").agg(F.min("__f").alias("__f"))
-    some = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    if docs.where("doc_id is null").isEmpty():
-        kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__id"), "inner")
-    else:  # a null id doesn't name a row: its text has to
-        own = F.lower(F.lpad(F.hex(fingerprint()(F.col("text"))), 16, "0"))
-        kept = docs.withColumn("__own", own).join(first, some, "inner").where("__own = __f").drop("__own")
-    return kept.dropDuplicates(["__root"]).select(*docs.columns)
+    own = F.lower(F.lpad(F.hex(fingerprint(shingle, seed)(F.col("text"))), 16, "0"))
+    return first_of_each(docs, near_duplicates(docs, shingle, seed, most), "fingerprint", own)
