@@ -86,7 +86,10 @@ def mix(
     return joined.withColumn("copies", (upto - since).cast("long")).drop("__class", "__name", "__rank", "__goal")
 
 
-def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: ``columns`` of each row of :func:`mix`, as often as it is taken."""
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, all its columns as they were."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")}
+    mixed = mix(docs.withColumnsRenamed(aside), weights, most, seed).where("copies > 0")
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").select(*columns, copies.alias("__copy")).select(*columns)
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return mixed.select(*own, copies.alias("__copy")).drop("__copy")
