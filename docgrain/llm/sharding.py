@@ -62,17 +62,20 @@ def group_of(text: Column, groups: int = GROUPS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(groups)).cast("int")
 
 
-def shard_plan(groups: list[tuple[int, int]], shards: int = SHARDS) -> tuple[list[tuple[int, int]], list[int]]:
-    """(group, shard) of groups that outweigh an even share, and the last groups of the other shards.
+def shard_plan(
+    groups: list[tuple[int, int]], shards: int = SHARDS, heavy_alone: bool = False
+) -> tuple[list[tuple[int, int]], list[int]]:
+    """(group, shard) of groups set apart, and the last groups of the other shards.
 
-    groups: (group, size) in ascending order. A group that is heavier than an even share of what
+    groups: (group, size) in ascending order, which the shards cut into runs. No group is set apart unless
+    ``heavy_alone`` asks for it: a group that is heavier than an even share of what
     isn't yet placed would alone set the capacity for all; such groups stand first in the order, and
     each gets a shard of its own. The other shards share the rest in order of group number.
     """
     alone: list[tuple[int, int]] = []
     rest = sorted(groups, key=lambda x: (-x[1], x[0]))
     left = sum(s for _, s in groups)
-    for g, s in rest:
+    for g, s in rest if heavy_alone else []:
         if len(alone) + 1 >= shards or s * (shards - len(alone)) <= left:
             break
         alone.append((g, len(alone)))
@@ -83,13 +86,15 @@ def shard_plan(groups: list[tuple[int, int]], shards: int = SHARDS) -> tuple[lis
     return alone, [others[e - 1][0] if e else -1 for e in ends]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, groups: int = GROUPS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, groups: int = GROUPS, heavy_alone: bool = False) -> DataFrame:
     """``docs`` with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null under this law).
 
     Size is the text's UTF-8 bytes (null: none) plus 8. Equal texts share a shard. The driver sees
     one sum per atomic group, at most ``groups``. A row's shard is a comparison of its group with
     the cuts, and its slot (gapless from 0 in the shard) an exact distributed position, so no text
-    is shuffled unless the caller keeps it. Rows of one doc_id get slots of their own; an empty table
+    is shuffled unless the caller keeps it. Long texts count with all their bytes. The capacity is the least
+    for these groups, in which unlike texts of a hash range go together: it is within one group's size, about
+    1 / ``groups`` of all bytes, of the least for single texts. See :func:`shard_plan` for ``heavy_alone``. Rows of one doc_id get slots of their own; an empty table
     gives an empty table. Columns of ``docs`` named as the results are replaced.
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -97,7 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, groups: int = GROUPS) -> DataFr
     rows = docs.drop(*new).withColumn("size", (F.octet_length(text) + 8).cast("long"))
     rows = rows.withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("__group", group_of(F.col("text"), groups))
     sums = sorted((r[0], r[1]) for r in rows.groupBy("__group").agg(F.sum("size")).collect())
-    alone, lasts = shard_plan(sums, shards)
+    alone, lasts = shard_plan(sums, shards, heavy_alone)
     g = F.col("__group")
     place = F.lit(len(alone))
     for last in lasts[:-1]:
