@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards, found again by digest, offset and length.
 
 A payload is kept as an 8-bit grey image (PNG: lossless, and compressed as its rows allow), a tar
-member named by the payload's SHA-256. A shard never holds one payload twice. Rows carry the shard,
+member named by the payload's SHA-256. A digest has one place that all its rows point to. Rows carry the shard,
 the digest, and the offset and length of the stored bytes, so a reader seeks straight to them; the
 header columns need the first bytes of a payload only.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, named_rows
 from .storage import Store
 
 #: Pixels of an image row; a payload is whole rows.
@@ -88,7 +88,9 @@ def store_payloads(docs: DataFrame, folder: str, width: int = WIDTH) -> DataFram
     """Writes the texts of ``docs`` to tar shards in ``folder`` (shared storage); returns the index.
 
     One index row per row of ``docs`` (see INDEX). Null texts count as empty: one row of spaces.
-    Equal texts have equal digests; a task stores each payload once. A shard gets its name by
+    Equal texts have equal digests and one place: tasks that met the same payload each wrote it (once a
+    shard), and the first place by name serves all. Long texts are stored whole; null doc_ids stay null; an
+    empty table writes no shard and gives an empty index. A shard gets its name by
     rename when it is whole, each attempt under a name of its own, and the index is checkpointed:
     rows never point to a shard of a failed attempt. Names of other columns don't matter.
     """
@@ -124,13 +126,19 @@ def store_payloads(docs: DataFrame, folder: str, width: int = WIDTH) -> DataFram
             yield close()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return checkpointed(narrow.mapInArrow(run, INDEX))
+    found = checkpointed(narrow.mapInArrow(run, INDEX))
+    first = F.min(F.struct("shard", "offset", "length")).alias("place")
+    places = found.groupBy("digest").agg(first, F.count(F.lit(1)).alias("rows"))
+    index = named_rows(found.select("doc_id", "n_bytes", "digest"), places, "digest", "rows")
+    return checkpointed(index.select("doc_id", "n_bytes", "place.shard", "digest", "place.offset", "place.length"))
 
 
-def _read(index: DataFrame, folder: str, fields: str, kinds: list, size: int | None, made: Callable) -> DataFrame:
-    """``index`` with columns that ``made(stored bytes, digest)`` gives; each place is read once per batch.
+def _read(
+    index: DataFrame, folder: str, fields: str, kinds: list, size: int | None, made: Callable, remember: int = 50_000
+) -> DataFrame:
+    """``index`` with columns that ``made(stored bytes, digest)`` gives.
 
-    size: bytes to read of each payload; None for all.
+    size: bytes to read of each payload; None for all. A task remembers what the last ``remember`` places gave.
     """
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields), fields])
     names = [*index.columns, *(x.split()[0] for x in fields.split(", "))]
@@ -150,7 +158,7 @@ def _read(index: DataFrame, folder: str, fields: str, kinds: list, size: int | N
                         name, file = shard, store.reader(shard)
                     file.seek(offset)
                     recent[place] = made(file.read(length if size is None else min(size, length)), digest)
-                    if len(recent) > 50_000:
+                    if len(recent) > remember:
                         recent.popitem(last=False)
                 rows.append(recent[place])
             cols = list(zip(*rows)) if rows else [[]] * len(kinds)
@@ -204,4 +212,4 @@ def read_payloads(index: DataFrame, folder: str, with_payload: bool = False) ->
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     if with_payload:
         fields, kinds = fields + ", payload binary", [*kinds, pa.binary()]
-    return _read(index, folder, fields, kinds, None, made)
+    return _read(index, folder, fields, kinds, None, made, 1 if with_payload else 50_000)
