@@ -15,7 +15,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -23,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words
+from .common import checkpointed, worker_model, words
 from .logistic import Curve, fit_curve
 
 #: Labelled rows of each class that a model is learned from at most, chosen by hash of the doc_id.
 SAMPLE = {1: 4000, 0: 8000}
-#: Lexicon terms and exception phrases kept at most.
-TERMS, PHRASES = 2000, 2000
+#: Lexicon terms and exception phrases kept at most, and candidates for terms that the driver sees.
+TERMS, PHRASES, CANDIDATES = 2000, 2000, 40_000
+#: Toxic documents of the sample that a candidate occurs in, and clean ones that an exception phrase does.
+LEAST_DOCS, LEAST_PHRASES = 4, 5
+#: Weight of a text's matches from which more doesn't count as more, in one of the curve's inputs.
+FULL_WEIGHT = 12.0
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Uses of a term in one document that count in learning.
 MOST_USES = 6
@@ -166,16 +169,22 @@ class Matcher:
         return weight, 100 * weight / n, n
 
     def score(self, text: str | None) -> float:
-        x = squash(*self.measure(text))
-        if self.model.curve is not None:
-            return float(self.model.curve(np.array([x]))[0])
-        t = -2.0 + 1.5 * x[2] * 4 + x[1]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
+        return float(scores(self.model.curve, [self.measure(text)])[0])
 
 
-def squash(weight: float, density: float, words: float) -> tuple[float, ...]:
-    """What the curve sees of a text's measures."""
-    return math.log1p(weight), math.log1p(density), min(weight, 12.0) / 4, math.log1p(words), float(weight > 0)
+def squash(measures: list[tuple[float, float, float]]) -> np.ndarray:
+    """What the curve sees of texts' measures, one row each."""
+    weight, density, words = np.asarray(measures, float).reshape(-1, 3).T
+    capped = np.minimum(weight, FULL_WEIGHT) / 4
+    return np.c_[np.log1p(weight), np.log1p(density), capped, np.log1p(words), weight > 0]
+
+
+def scores(curve: Curve | None, measures: list[tuple[float, float, float]]) -> np.ndarray:
+    """Scores of texts by their measures; without a curve, by a fixed one."""
+    x = squash(measures)
+    if curve is not None:
+        return curve(x)
+    return 1 / (1 + np.exp(-np.clip(-2.0 + 6 * x[:, 2] + x[:, 1], -30, 30)))
 
 
 def phrases(folded: str, start: int) -> list[str]:
@@ -199,8 +208,9 @@ def is_match(column: Column, modulus: int, value: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: dict[int, int]) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` rows per class that aren't held out, chosen by hash of doc_id.
 
-    Labels of a doc_id that has both values count as the larger; null labels are ignored. The chosen
-    ids are bounded by ``most``, so they are broadcast and no text is shuffled.
+    Labels of a doc_id that has both values count as the larger; null labels and ids are ignored. The chosen
+    ids are bounded by ``most``, so they are broadcast and only their texts are shuffled: of rows that
+    repeat an id, the one of the least text counts. Ties of the hash go to the smaller id.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_match(F.col("doc_id"), modulus, held_out))
     y = y.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label).cast("int").alias("y"))
@@ -210,7 +220,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     for s in some[1:]:
         chosen = chosen.unionByName(s)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "inner").select("doc_id", "text", "y")
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "inner")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def _shingle(seed: int):
@@ -252,7 +263,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         own[w[:k]] += n
             for t, n in own.items():
                 uses[y][t] += min(n, MOST_USES)
-            total[y] += min(sum(found.values()), 100_000)
+            total[y] += sum(found.values())
             if y:
                 held.update(own.keys())
                 docs += 1
@@ -310,16 +321,16 @@ def fit(
 ) -> Model:
     """A model from labelled documents outside the held-out fold (crc32 of doc_id mod ``modulus``).
 
-    Learned from at most SAMPLE rows per class. Without labels it is the fixed lexicon.
+    Learned from the whole texts of at most SAMPLE rows per class. Without labels it is the fixed lexicon.
     """
     rows = checkpointed(one_of_each_family(labelled(docs, labels, label, modulus, held_out, most or SAMPLE)))
     counts = rows.select("text", "y").mapInArrow(_candidates, "term string, docs long, n0 long, n1 long")
     counts = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "n0", "n1")])
-    counts = counts.where("term = '' or docs >= 4")
+    counts = counts.where(F.col("term").eqNullSafe("") | (F.col("docs") >= LEAST_DOCS))
     total = counts.where("term = ''").select("n0", "n1").first()
     n0, n1 = (total[0], total[1]) if total else (0, 0)
     telling = counts.where(F.col("term") != "").where((F.col("n1") + 0.5) * F.lit(n0) >= (F.col("n0") + 0.5) * F.lit(6 * n1))
-    telling = telling.orderBy(F.desc("n1"), "n0", "term").limit(20 * TERMS)
+    telling = telling.orderBy(F.desc("n1"), "n0", "term").limit(CANDIDATES)
     share = rows.agg(F.avg("y")).first()[0] or 0.1
     learned = choose_terms([tuple(r) for r in telling.collect()], (n0, n1), share)
     terms = {(w, True): 1.0 for w in LEXICON} | learned
@@ -332,30 +343,30 @@ def fit(
             for text in batch.column(0):
                 folded = fold(text.as_py() or "")
                 found = matcher.matches(folded)
-                near.append(sorted({p for s, _, _ in found for p in phrases(folded, s)})[:200])
+                near.append(sorted({p for s, _, _ in found for p in phrases(folded, s)}))
                 got.append(matcher.measure(text.as_py()))
             cols = [pa.array([list(g) for g in got], pa.list_(pa.float64()))]
             cols += [batch.column(1), pa.array(near, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, ["m", "y", "near"])
 
-    seen = rows.select("text", "y").mapInArrow(measures, "m array<double>, y int, near array<string>")
-    got = seen.select("m", "y", F.when(F.col("y") == 0, F.col("near")).alias("near")).collect()
+    fields = "m array<double>, y int, near array<string>"
+    seen = checkpointed(rows.select("text", "y").mapInArrow(measures, fields))
     # A phrase that clean documents keep using is an exception, if toxic ones don't depend on it.
-    harmless = Counter(p for r in got if r[1] == 0 and r[2] for p in set(r[2]))
-    common = {p for p, n in harmless.most_common(PHRASES) if n >= 5}
-    if common:
-        toxic = seen.where("y = 1").select(F.explode("near").alias("p")).where(F.col("p").isin(sorted(common)))
-        toxic_n = dict(toxic.groupBy("p").count().collect())
-        model.exceptions |= {p for p in common if toxic_n.get(p, 0) * 4 < harmless[p]}
-        got = seen.select("m", "y").collect()
+    near = seen.select("y", F.explode("near").alias("p")).groupBy("p")
+    near = near.agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic"))
+    near = near.where((F.col("clean") >= LEAST_PHRASES) & (F.col("toxic") * 4 < F.col("clean")))
+    found = near.orderBy(F.desc("clean"), "p").limit(PHRASES).select("p").collect()
+    if found:
+        model.exceptions |= {r[0] for r in found}
+        seen = rows.select("text", "y").mapInArrow(measures, fields)
+    got = seen.select("m", "y").collect()
     if got:
-        model.curve = fit_curve(np.array([squash(*r[0]) for r in got]), np.array([r[1] for r in got], float))
+        model.curve = fit_curve(squash([r[0] for r in got]), np.array([r[1] for r in got], float))
     return model
 
 
-@lru_cache(maxsize=2)
 def _matcher(terms: tuple, exceptions: tuple) -> Matcher:
-    return Matcher(Model(dict(terms), set(exceptions)))
+    return worker_model(("toxicity", terms, exceptions), lambda: Matcher(Model(dict(terms), set(exceptions))))
 
 
 def toxicity(model: Model):
@@ -366,9 +377,8 @@ def toxicity(model: Model):
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = _matcher(*state)
-        matcher.model.curve = curve
         for texts in batches:
-            yield pa.array([matcher.score(t.as_py()) for t in texts], pa.float64())
+            yield pa.array(scores(curve, [matcher.measure(t.as_py()) for t in texts]), pa.float64())
 
     return run
 
@@ -376,8 +386,8 @@ def toxicity(model: Model):
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 if score >= threshold).
 
-    Null and empty texts have the score of no match; long texts are matched whole; repeated rows
-    stay; other columns are ignored.
+    Null and empty texts have the score of no match; long texts are matched whole; repeated rows and null
+    doc_ids stay; other columns are ignored; an empty table gives an empty one.
     """
     scored = docs.select("doc_id", toxicity(model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
