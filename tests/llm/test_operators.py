@@ -362,7 +362,7 @@ def test_mixing(docs, odd, empty, texts):
             got = next(r for r in rows if r.source == s)
             assert got.source_size == size[s] and got.target == pytest.approx(w)
             assert abs(taken[s] - w) <= 2 * most[s]
-        out = mixing.take(mixing.mix(df), df.columns)
+        out = mixing.take(df)
         assert out.columns == df.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty).collect() == []
 
@@ -406,8 +406,9 @@ def test_sharding(docs, odd, empty):
 
 
 def test_heavy_group_gets_a_shard_of_its_own():
-    alone, ends = sharding.shard_plan([(g, 10) for g in range(100)] + [(100, 5000)], 5)
+    alone, ends = sharding.shard_plan([(g, 10) for g in range(100)] + [(100, 5000)], 5, heavy_alone=True)
     assert alone == [(100, 0)] and ends == [24, 49, 74, 99]
+    assert sharding.shard_plan([(0, 1), (1, 9)], 2) == ([], [0, 1])
 
 
 def test_positions_are_exact(spark):
