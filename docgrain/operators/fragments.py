@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.text import PROTECTED
 from .blocks import SPACE, parse
 
-_HEADING = regex.compile(r"( {0,3}#{1,6}[ \t]+)(.*)\Z", regex.S)
-_ITEM = regex.compile(r"([ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)(.*)\Z", regex.S)
-_RULE = regex.compile(r"[ \t]*\|[ \t:|-]*\|[ \t]*\Z")
+_S = "".join(c for c in SPACE if c != "\n")
+#: A fence inside a list: its opening line, the lines to its end, and the closing one if there is one.
+_FENCED = (
+    rf"^[{_S}]*+(?P<run>(?P<mark>[`~])(?P=mark){{2,}}+)[^\n]*+"
+    rf"(?:\n(?![{_S}]*+(?P=run)(?P=mark)*+[{_S}]*+$)[^\n]*+)*+(?:\n[{_S}]*+(?P=run)(?P=mark)*+[{_S}]*+$)?"
+)
+#: What is syntax, and not language, in blocks of a kind; what stands between may be rewritten.
+_SYNTAX = {
+    "heading": regex.compile(r"\A {0,3}#{1,6}[ \t]+"),
+    "table": regex.compile(r"^[ \t]*\|[ \t:|-]*\|[ \t]*$|\||\n", regex.M),
+    "list": regex.compile(rf"{_FENCED}|\n|^[ \t]*(?:[-*+]|[0-9]{{1,9}}[.)])[ \t]+", regex.M),
+}
+_HELD = regex.compile(_FENCED, regex.M)
+_CORE = regex.compile(rf"([{SPACE}]*+)(.*?)([{SPACE}]*)", regex.S)
 _PROTECTED = regex.compile(PROTECTED)
 _FLAG = regex.compile(r"-{1,2}[\p{L}0-9][\p{L}0-9_-]*\Z")
 _PATH = regex.compile(r"[.~]?/?[\p{L}0-9_.-]+(?:[/.][\p{L}0-9_.-]+)+/?\Z")
@@ -27,113 +38,67 @@ def is_prose(text: str) -> bool:
     return not _FLAG.match(rest) and not _PATH.match(rest) and _LETTERS.search(rest) is not None
 
 
-def fence_run(line: str) -> str:
-    """The three or more fence characters that a line begins with, whatever follows; else ''."""
-    body = line.strip(SPACE)
-    run = body[: len(body) - len(body.lstrip(body[0]))] if body[:1] in ("`", "~") and body else ""
-    return run if len(run) >= 3 else ""
-
-
-def ends_run(line: str, run: str) -> bool:
-    body = line.strip(SPACE)
-    return body.startswith(run) and not body.strip(run[0])
-
-
-def _outer(text: str) -> list[tuple[str, bool]]:
-    """A fragment with its outer white space apart."""
-    core = text.strip(SPACE)
-    if not core or not is_prose(core):
-        return [(text, False)]
-    a = text.index(core)
-    return [p for p in ((text[:a], False), (core, True), (text[a + len(core) :], False)) if p[0]]
-
-
-def _table(text: str) -> Iterator[tuple[str, bool]]:
-    for i, row in enumerate(text.split("\n")):
-        if i:
-            yield "\n", False
-        if _RULE.match(row):
-            yield row, False
-            continue
-        for j, cell in enumerate(row.split("|")):
-            if j:
-                yield "|", False
-            yield from _outer(cell)
-
-
-def _list(text: str) -> Iterator[tuple[str, bool]]:
-    inside = ""
-    for i, row in enumerate(text.split("\n")):
-        if i:
-            yield "\n", False
-        if inside:
-            inside = "" if ends_run(row, inside) else inside
-            yield row, False
-        elif run := fence_run(row):
-            inside = run
-            yield row, False
-        elif m := _ITEM.match(row):
-            yield m[1], False
-            yield from _outer(m[2])
-        else:
-            yield from _outer(row)
+def _tokens(kind: str, text: str) -> Iterator[tuple[str, bool]]:
+    """Runs of a block's text, in order: (text, may be rewritten?)."""
+    syntax = _SYNTAX.get(kind)
+    if kind == "prose" or (kind == "heading" and not syntax.match(text)):
+        yield text, True
+    elif syntax is None:
+        yield text, False
+    else:
+        at = 0
+        for m in [*syntax.finditer(text), None]:
+            before, core, after = _CORE.fullmatch(text[at : m.start() if m else len(text)]).groups()
+            yield from ((before, False), (core, is_prose(core)), (after, False))
+            if m:
+                yield m[0], False
+                at = m.end()
+
+
+def _rendered(part: str | None) -> Iterator[tuple[str, str]]:
+    """(kind, text) of the blocks of a part, with what stands between two of them as kind ''."""
+    blocks = parse(part)
+    for i, b in enumerate(blocks):
+        yield b["kind"], b["text"]
+        if i + 1 < len(blocks):
+            yield "", "\n" * (b["gap"] + 1)
 
 
 def pieces(part: str | None) -> list[tuple[str, bool]]:
     """(text, may be rewritten?) of a part, in order; the texts concatenate to its rendered blocks."""
     out: list[tuple[str, bool]] = []
-    blocks = parse(part)
-    for i, b in enumerate(blocks):
-        text = b["text"]
-        if b["kind"] in ("code", "html"):
-            out.append((text, False))
-        elif b["kind"] == "table":
-            out += _table(text)
-        elif b["kind"] == "list":
-            out += _list(text)
-        elif b["kind"] == "heading" and (m := _HEADING.match(text)):
-            out += [(m[1], False), *_outer(m[2])]
-        else:
-            out.append((text, True))
-        if i + 1 < len(blocks):
-            out.append(("\n" * (b["gap"] + 1), False))
+    for kind, block in _rendered(part):
+        for text, free in _tokens(kind, block):
+            if text and out and not free and not out[-1][1]:
+                out[-1] = (out[-1][0] + text, False)
+            elif text:
+                out.append((text, free))
     return out
 
 
 def mask_part(part: str | None) -> tuple[str, list[str]]:
     """A whole part with code, HTML and protected spans replaced by markers of one numbering, and what
-    they stand for."""
+    they stand for. Fences inside lists count as code; protected spans don't cross lines there."""
     saved: list[str] = []
 
-    def keep(text: str) -> str:
-        saved.append(text)
+    def keep(m: regex.Match | str) -> str:
+        saved.append(m if isinstance(m, str) else m[0])
         return f"⟦{len(saved) - 1}⟧"
 
-    def inline(text: str) -> str:
-        return _PROTECTED.sub(lambda m: keep(m[0]), text)
-
-    def items(text: str) -> str:
-        out, held, run = [], [], ""
-        for row in text.split("\n"):
-            if run:
-                held.append(row)
-                if ends_run(row, run):
-                    out.append(keep("\n".join(held)))
-                    held, run = [], ""
-            elif run := fence_run(row):
-                held = [row]
-            else:
-                out.append(inline(row))
-        return "\n".join([*out, keep("\n".join(held))] if held else out)
-
-    out = []
-    blocks = parse(part)
-    for i, b in enumerate(blocks):
-        by = keep if b["kind"] in ("code", "html") else items if b["kind"] == "list" else inline
-        out.append(by(b["text"]))
-        if i + 1 < len(blocks):
-            out.append("\n" * (b["gap"] + 1))
-    return "".join(out), saved
+    def masked(kind: str, text: str) -> str:
+        if kind in ("code", "html"):
+            return keep(text)
+        if kind != "list":
+            return _PROTECTED.sub(keep, text)
+        out, at = [], 0
+        for m in [*_HELD.finditer(text), None]:
+            out += ["\n".join(_PROTECTED.sub(keep, row) for row in text[at : m.start() if m else len(text)].split("\n"))]
+            if m:
+                out.append(keep(m))
+                at = m.end()
+        return "".join(out)
+
+    return "".join(masked(kind, text) for kind, text in _rendered(part)), saved
 
 
 def with_pieces(parts: DataFrame, text: str = "text", out: str = "pieces") -> DataFrame:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical, is_blank, normalized
 from .blocks import with_blocks
 
-# Display names of kinds; the reasons below are worded as their readers expect them.
-KIND_NAMES = {"heading": "heading", "code": "code fence", "table": "table", "list": "list", "html": "html block", "prose": "paragraph"}
-
-
 def join_parts(parts: Column) -> Column:
     """An array of (text, gap) in order to one text. ``gap``: recorded blank lines before the part, by its
     own place; one where it is unknown or less. Blank parts drop out."""
@@ -49,46 +45,54 @@ def roundtrip_verdict(source: Column, merged: Column) -> Column:
     return F.when(same, "byte-exact").when(near, "whitespace-only").otherwise("different")
 
 
-def structure_reasons(source: Column, rewritten: Column) -> Column:
-    """Reasons (array of text, empty if none) why rewritten blocks no longer have the shape of the source's."""
+FINDING = "array<struct<code: string, at: int, was: string, now: string>>"
+
+
+def structure_findings(source: Column, rewritten: Column) -> Column:
+    """Where rewritten blocks no longer have the shape of the source's: array of (code, at, was, now).
+
+    ``count``: another number of blocks (at 0); ``kind``, ``code``, ``level``, ``rows``: what differs in the
+    block at that place (from 1), the first that applies, with both values. Code must come back as it was.
+    """
     n, m = F.size(source), F.size(rewritten)
-    names = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
-    count = F.when(n != m, F.array(F.format_string("block count changed: %d in the source, %d in the reply", n, m)))
+    found = lambda code, at, was, now: F.struct(
+        F.lit(code).alias("code"), at.cast("int").alias("at"), was.cast("string").alias("was"), now.cast("string").alias("now")
+    )
 
-    def reason(i: Column) -> Column:
-        a, b = F.get(source, i), F.get(rewritten, i)
-        at = i + 1
+    def compare(x: Column, i: Column) -> Column:
+        a, b, both = x["a"], x["b"], x["a"]["kind"]
+        rows = lambda y: y["n_newlines"] + 1
         return (
-            F.when(
-                a["kind"] != b["kind"],
-                F.format_string("block %d became a %s, was a %s", at, names[b["kind"]], names[a["kind"]]),
-            )
-            .when(
-                (a["kind"] == "code") & (a["text"] != b["text"]),
-                F.format_string("code fence %d was modified - code must be reproduced verbatim", at),
-            )
-            .when(
-                (a["kind"] == "heading") & (a["level"] != b["level"]),
-                F.format_string("heading %d changed from level %d to %d", at, a["level"], b["level"]),
-            )
-            .when(
-                (a["kind"] == "table") & (a["n_newlines"] != b["n_newlines"]),
-                F.format_string(
-                    "table %d has %d rows, the source had %d", at, b["n_newlines"] + 1, a["n_newlines"] + 1
-                ),
-            )
+            F.when(a["kind"] != b["kind"], found("kind", i + 1, a["kind"], b["kind"]))
+            .when((both == "code") & (a["text"] != b["text"]), found("code", i + 1, F.md5(a["text"]), F.md5(b["text"])))
+            .when((both == "heading") & (a["level"] != b["level"]), found("level", i + 1, a["level"], b["level"]))
+            .when((both == "table") & (rows(a) != rows(b)), found("rows", i + 1, rows(a), rows(b)))
         )
 
     shared = F.least(n, m)
-    each = F.when(shared > 0, F.transform(F.sequence(F.lit(0), shared - 1), reason)).otherwise(
-        F.array().cast("array<string>")
+    pairs = F.arrays_zip(F.slice(source, 1, shared).alias("a"), F.slice(rewritten, 1, shared).alias("b"))
+    each = F.filter(F.transform(pairs, compare), lambda x: x.isNotNull())
+    count = F.when(n != m, F.array(found("count", F.lit(0), n, m))).otherwise(F.array().cast(FINDING))
+    return F.concat(count, each)
+
+
+def reason(finding: Column) -> Column:
+    """A finding in words."""
+    code, at, was, now = (finding[x] for x in ("code", "at", "was", "now"))
+    at = at.cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return (
+        F.when(code == "count", say("expected ", was, " blocks but got ", now))
+        .when(code == "kind", say("at block ", at, ": ", was, " expected, ", now, " found"))
+        .when(code == "code", say("at block ", at, ": the code isn't the same any more"))
+        .when(code == "level", say("at block ", at, ": heading level ", was, " expected, ", now, " found"))
+        .otherwise(say("at block ", at, ": table of ", was, " rows expected, ", now, " found"))
     )
-    empty = F.array().cast("array<string>")
-    return F.concat(F.coalesce(count, empty), F.filter(each, lambda r: r.isNotNull()))
 
 
 def verify(pairs: DataFrame, source: str = "source", rewritten: str = "rewritten") -> DataFrame:
-    """``pairs`` with ``reasons``; an empty array means that the structure held. Both texts are parsed in
-    the row, so the positional comparison needs no join."""
+    """``pairs`` with ``findings`` and ``reasons`` (the same in words); empty arrays mean that the structure
+    held. Both texts are parsed in the row, so the positional comparison needs no join."""
     parsed = with_blocks(with_blocks(pairs, source, "__a"), rewritten, "__b")
-    return parsed.withColumn("reasons", structure_reasons(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    parsed = parsed.withColumn("findings", structure_findings(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    return parsed.withColumn("reasons", F.transform("findings", reason))

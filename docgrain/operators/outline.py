@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import heading_title, trim
-from .blocks import block_rows, render
+from .blocks import render
 
 SEPARATOR = " > "
 
 
-def topics(parsed: DataFrame, keys: list[str], blocks: str = "blocks") -> DataFrame:
-    """One row per heading: keys, block_idx, end_idx, level, title, path, line, chars (bytes of the section).
+TOPIC = [("block_idx", pa.int32()), ("end_idx", pa.int32()), ("level", pa.int32()), ("title", pa.string()),
+         ("path", pa.string()), ("line", pa.int32()), ("chars", pa.int64())]
+
+
+def headings(levels: list[int], gaps: list[int], sizes: list[int], lines: list[int], titles: list[str | None]) -> list[tuple]:
+    """Topics in order of TOPIC, from the blocks of a document; a title marks a heading.
 
-    Ancestors, ends and sizes come from windows over a document's blocks; bodies aren't touched. A
-    heading's ancestor at a level is the last heading of that level or less before it, if it has
-    exactly that level.
+    A section ends before the next heading of its level or less. A heading's path has the last heading
+    of each lesser level since the last one that was less still. One pass with a stack.
     """
-    rows = block_rows(parsed, keys, blocks)
-    rows = rows.select(*keys, "block_idx", "kind", "level", "gap", "n_bytes", "line",
-                       F.when(F.col("kind") == "heading", heading_title(F.col("text"))).alias("title"))
-    w = Window.partitionBy(*keys).orderBy("block_idx")
-    past, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    head = F.col("kind") == "heading"
-    step = F.col("n_bytes") + F.col("gap") + 1
-    s = rows.withColumn("__before", F.coalesce(F.sum(step).over(past), F.lit(0)))
-    s = s.withColumn("__after", F.col("__before") + step)
-    close = F.struct("block_idx", "__before", F.lag("gap").over(w).alias("gap"))
-    s = s.withColumn("__last", F.struct("block_idx", "__after", "gap"))
-    s = s.withColumn("__end", F.last("__last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = s.withColumn("__close", close)
-    for k in range(1, 7):
-        upto = head & (F.col("level") <= k)
-        s = s.withColumn(f"__p{k}", F.last(F.when(upto, F.struct("level", "title")), ignorenulls=True).over(past))
-        s = s.withColumn(f"__n{k}", F.first(F.when(upto, F.col("__close")), ignorenulls=True).over(later))
-    s = s.where(head)
-    live = [F.when((F.col(f"__p{k}.level") == k) & (F.col("level") > k), F.col(f"__p{k}.title")) for k in range(1, 6)]
-    end = F.element_at(F.array(*[F.col(f"__n{k}") for k in range(1, 7)]), F.col("level"))
-    s = s.withColumn("__next", end)
-    chars = F.coalesce(
-        F.col("__next.__before") - F.col("__next.gap") - 1, F.col("__end.__after") - F.col("__end.gap") - 1
-    ) - F.col("__before")
-    return s.select(
-        *keys, "block_idx",
-        F.coalesce(F.col("__next.block_idx"), F.col("__end.block_idx") + 1).alias("end_idx"),
-        "level", "title", F.concat_ws(SEPARATOR, *live, F.col("title")).alias("path"), "line",
-        chars.cast("long").alias("chars"),
+    out: list[list] = []
+    open_: list[tuple[int, int, int]] = []  # (place in out, level, bytes before)
+    before = 0
+
+    def close(level: int, end: int, upto: int) -> None:
+        while open_ and open_[-1][1] >= level:
+            k, _, since = open_.pop()
+            out[k][1], out[k][6] = end, upto - since
+
+    for i, (level, gap, size, line, title) in enumerate(zip(levels, gaps, sizes, lines, titles)):
+        if title is not None:
+            close(level, i, before - gaps[i - 1] - 1 if i else 0)
+            path = SEPARATOR.join([*(out[k][3] for k, _, _ in open_), title])
+            open_.append((len(out), level, before))
+            out.append([i, 0, level, title, path, line, 0])
+        before += size + gap + 1
+    if gaps:
+        close(0, len(gaps), before - gaps[-1] - 1)
+    return [tuple(x) for x in out]
+
+
+def with_topics(parsed: DataFrame, blocks: str = "blocks", out: str = "topics") -> DataFrame:
+    """``parsed`` with ``out``: the array of topics of each document, see :func:`headings`. No text but titles
+    leaves the JVM, and no row is shuffled."""
+    slim = F.transform(
+        blocks,
+        lambda b: F.struct(
+            b["level"].alias("level"), b["gap"].alias("gap"), b["n_bytes"].alias("n_bytes"), b["line"].alias("line"),
+            F.when(b["kind"] == "heading", heading_title(b["text"])).alias("title"),
+        ),
     )
+    kind = pa.list_(pa.struct(TOPIC))
+
+    @F.arrow_udf("array<struct<block_idx: int, end_idx: int, level: int, title: string, path: string, line: int, chars: bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = [n for n, _ in TOPIC]
+        for batch in batches:
+            ends, flat = batch.offsets.to_pylist(), batch.values
+            fields = [flat.field(i).to_pylist() for i in range(5)]
+            rows = [headings(*(f[a:b] for f in fields)) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.array([[dict(zip(names, t)) for t in row] for row in rows], kind)
+
+    return parsed.withColumn(out, run(slim))
+
+
+def topics(parsed: DataFrame, keys: list[str], blocks: str = "blocks") -> DataFrame:
+    """One row per heading: keys, block_idx, end_idx, level, title, path, line, chars (bytes of the section)."""
+    rows = with_topics(parsed, blocks, "__topics").select(*keys, F.explode("__topics").alias("__t"))
+    return rows.select(*keys, "__t.*")
 
 
 def outline_text(topics: DataFrame) -> DataFrame:

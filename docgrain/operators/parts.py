@@ -151,6 +151,15 @@ def part_rows(packed: DataFrame, keys: list[str], size: int, blocks: str = "bloc
     )
 
 
+def texts_of(blocks: str = "blocks", parts: str = "parts") -> Column:
+    """The parts of a row of :func:`with_parts` as an array of (text, gap), ``gap`` being the blank lines before."""
+    own = lambda p: F.slice(F.col(blocks), p["block_from"] + 1, p["block_to"] - p["block_from"])
+    return F.transform(
+        parts,
+        lambda p, i: F.struct(render(own(p)).alias("text"), F.get(F.col(parts), i - 1)["gap_after"].alias("gap")),
+    )
+
+
 def split(docs: DataFrame, size: int = 8000, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """Documents to parts; see :func:`part_rows`. No shuffle: every step stays in the document's row."""
     from .blocks import with_blocks

@@ -41,10 +41,10 @@ def piece(line: Column, i: Column) -> Column:
     """What line ``i`` of a document becomes in the derived corpus."""
     kind = i % 6
     marks = F.repeat(F.lit("#"), 1 + F.floor(i / 6).cast("int") % 3)
-    cell = F.replace(F.substring(line, 1, 30), F.lit("|"), F.lit("/"))
+    cell = F.replace(line, F.lit("|"), F.lit("/"))
     n = i.cast("string")
     return (
-        F.when(kind == 0, F.concat(marks, F.lit(" "), F.substring(line, 1, 40), F.lit("\n\n")))
+        F.when(kind == 0, F.concat(marks, F.lit(" "), line, F.lit("\n\n")))
         .when(kind == 2, F.concat(F.lit("```txt\n"), line, F.lit("\n# not a heading\n```\n\n")))
         .when(kind == 3, F.concat(F.lit("| n | text |\n| --- | --- |\n| "), n, F.lit(" | "), cell, F.lit(" |\n\n")))
         .when(kind == 4, F.concat(F.lit("- "), line, F.lit("\n- see `id_"), n, F.lit("`\n\n\n")))
@@ -74,9 +74,9 @@ WITH RECURSIVE lines0 AS (
     CASE i % 6 WHEN 0 THEN 'heading' WHEN 2 THEN 'code' WHEN 3 THEN 'table' WHEN 4 THEN 'list' ELSE 'prose' END AS kind,
     CAST(CASE WHEN i % 6 = 0 THEN 1 + (i // 6) % 3 ELSE 0 END AS INTEGER) AS level,
     CASE i % 6
-      WHEN 0 THEN repeat('#', 1 + (i // 6) % 3) || ' ' || substr(line, 1, 40)
+      WHEN 0 THEN repeat('#', 1 + (i // 6) % 3) || ' ' || line
       WHEN 2 THEN '```txt' || chr(10) || line || chr(10) || '# not a heading' || chr(10) || '```'
-      WHEN 3 THEN '| n | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' | ' || replace(substr(line, 1, 30), '|', '/') || ' |'
+      WHEN 3 THEN '| n | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || i || ' | ' || replace(line, '|', '/') || ' |'
       WHEN 4 THEN '- ' || line || chr(10) || '- see `id_' || i || '`'
       ELSE line END AS text
   FROM lines0
@@ -228,12 +228,28 @@ def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT page_id, 1 AS block_count, 'prose' AS kind FROM pages WHERE false UNION ALL
-SELECT page_id, CAST(1 AS INTEGER), 'prose' FROM pages WHERE NOT contains(html, chr(10))""")
+@query()
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = read(spark, sf_dir, "pages").where(~F.contains("html", F.lit("\n")))
-    got = blocks.with_blocks(one, "html")
-    return got.select("page_id", F.size("blocks").alias("block_count"), F.get("blocks", F.lit(0))["kind"].alias("kind"))
+    """All pages; without SQL, which can't run the parser's automaton over lines (tested by brute force)."""
+    rows = blocks.block_rows(blocks.with_blocks(read(spark, sf_dir, "pages"), "html"), ["page_id"])
+    return rows.select("page_id", "block_idx", "kind", "level", "gap", F.md5("text").alias("body"), "n_bytes", "n_newlines", "line")
+
+
+@query("""WITH p AS (SELECT page_id, replace(html, chr(10), ' ') AS x FROM pages),
+s AS (SELECT page_id, x, regexp_replace(regexp_replace(x, '`+[^`]*`+', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS y FROM p),
+t AS (SELECT page_id, x, list_filter(regexp_extract_all(y, '</?[a-zA-Z][a-zA-Z0-9]*[^>]*>'), lambda g: regexp_matches(g,
+ '(?i)^</?(?:div|p|table|section|article|main|aside|header|footer|nav|details|figure|form|ul|ol|blockquote|pre|h1|h2|h3|h4|h5|h6)[^a-zA-Z0-9]')) AS g FROM s),
+u AS (SELECT page_id, '<div>' || chr(10) || x AS two, CAST(len(list_filter(g, lambda q: NOT starts_with(q, '</') AND NOT ends_with(q, '/>')))
+  - len(list_filter(g, lambda q: starts_with(q, '</'))) AS BIGINT) AS b FROM t),
+r AS (SELECT page_id, CASE WHEN b < 0 THEN [two, '</div>', 'after'] WHEN b = 0 THEN [two || chr(10) || '</div>', 'after']
+  ELSE [two || chr(10) || '</div>' || chr(10) || chr(10) || 'after'] END AS l FROM u)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS block_idx, CASE WHEN i = 1 THEN 'html' ELSE 'prose' END AS kind, md5(l[i]) AS body,
+ CAST(CASE WHEN i = len(l) - 1 THEN 1 ELSE 0 END AS INTEGER) AS gap FROM r, unnest(generate_series(1, len(l))) AS s(i)""")
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page on one line inside a block of its own: where the block ends tells what the page leaves open."""
+    x = F.concat(F.lit("<div>\n"), F.replace("html", F.lit("\n"), F.lit(" ")), F.lit("\n</div>\n\nafter\n"))
+    rows = blocks.block_rows(blocks.with_blocks(read(spark, sf_dir, "pages").select("page_id", x.alias("x")), "x"), ["page_id"])
+    return rows.select("page_id", "block_idx", "kind", F.md5("text").alias("body"), "gap")
 
 
 @query(GROUPS + """SELECT doc_id, group_idx, block_from, block_to, size, heading, level FROM grp""")
@@ -274,11 +290,10 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(parts_sql(1000) + """SELECT p.doc_id, max(n_parts) AS n_parts, md5(any_value(c.text)) AS merged, 'byte-exact' AS verdict
 FROM part p JOIN canon c ON c.doc_id = p.doc_id GROUP BY p.doc_id""")
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    merged = merge.merge(parts.split(docs, 1000), ["doc_id"]).withColumnRenamed("text", "merged")
-    j = merged.join(docs.select("doc_id", "text"), "doc_id")
-    return j.select("doc_id", F.col("n_parts").cast("long").alias("n_parts"), F.md5("merged").alias("merged"),
-                    merge.roundtrip_verdict(F.col("text"), F.col("merged")).alias("verdict"))
+    packed = parts.with_parts(parsed(spark, sf_dir), 1000)
+    merged = packed.withColumn("merged", merge.join_parts(parts.texts_of()))
+    return merged.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.md5("merged").alias("merged"),
+                         merge.roundtrip_verdict(F.col("text"), F.col("merged")).alias("verdict"))
 
 
 OUTLINE = CORPUS + """, pos AS (
@@ -505,8 +520,20 @@ def verify_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.replace(bad, F.lit("| --- | --- |\n"), F.lit("| --- | --- |\n| extra | row |\n"))
     bad = F.regexp_replace(bad, r"(?m)^# (?!not a heading$)", "### ")
     got = merge.verify(d.select("doc_id", F.col("text").alias("source"), bad.alias("rewritten")))
-    n = lambda p: F.size(F.filter("reasons", lambda r: F.contains(r, F.lit(p)))).cast("long")
-    return got.select("doc_id", F.size("reasons").cast("long").alias("reasons"), n("code fence").alias("code_"), n("changed from level").alias("heads"), n("rows, the source").alias("tables_"))
+    n = lambda p: F.size(F.filter("findings", lambda r: r["code"] == p)).cast("long")
+    return got.select("doc_id", F.size("reasons").cast("long").alias("reasons"), n("code").alias("code_"), n("level").alias("heads"), n("rows").alias("tables_"))
+
+
+@query(CORPUS + """, n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (block_idx = 0 OR kind <> 'list') AS INTEGER) AS m,
+  list(kind ORDER BY block_idx) AS k, list(kind ORDER BY block_idx) FILTER (kind <> 'list') AS j FROM blk GROUP BY doc_id)
+SELECT doc_id, n <> m AS other_count, CAST(len(list_filter(generate_series(1, least(n, m)), lambda i: k[i] <> j[i])) AS INTEGER) AS other_kinds FROM n""")
+def verify_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewritten texts that have lost their lists: another number of blocks, and other kinds at their places."""
+    d = parsed(spark, sf_dir)
+    left = F.filter("blocks", lambda b: b["kind"] != "list")
+    found = d.select("doc_id", merge.structure_findings(F.col("blocks"), left).alias("f"))
+    n = lambda p: F.size(F.filter("f", lambda x: x["code"] == p))
+    return found.select("doc_id", (n("count") > 0).alias("other_count"), n("kind").alias("other_kinds"))
 
 
 SPANS = """WITH d AS (SELECT doc_id, 'See `x_' || doc_id || '` and https://a.b/c?d=' || doc_id || ' or [the ' || lang || '](u/' || doc_id || ') ' || text || ' <br> [^' || doc_id || '] ⟦ 7 ⟧' AS t FROM documents),
@@ -540,12 +567,11 @@ def restore_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(back["text"]).alias("back"), back["error"].alias("fine"), lost["error"].alias("lost"), twice["error"].alias("twice"), new["error"].alias("invented"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(substr(text, 1, 50), '\\s+', ' ', 'g')) AS flat, 'new structure' AS structure, 'echo of the instructions' AS echo,
+@query("""SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, 'new structure' AS structure, 'echo of the instructions' AS echo,
  CASE WHEN length(text) > 4 * 10 + 80 THEN 'too long' END AS long_, md5(replace(text, 'x', 'y') || chr(10) || 'b') AS joined FROM documents""")
 def fit_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lit = read(spark, sf_dir, "documents"), F.lit
-    head = F.substring("text", 1, 50)
-    flat = spans.fit(lit("one line of text"), F.concat(head, lit("\n")))
+    flat = spans.fit(F.replace("text", lit("\n"), lit(" ")), F.concat("text", lit("\n")))
     two = F.concat(F.replace("text", lit("x"), lit("y")), lit("\n \n\nb"))
     return d.select(
         "doc_id", flat["text"].alias("flat"), spans.fit(lit("a"), F.concat(lit("- "), F.lit("b")))["error"].alias("structure"),
@@ -581,14 +607,14 @@ def glossary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(terms), spans.applies(F.col("term"), F.col("x"))).select("doc_id", "term")
 
 
-@query("""SELECT conv_id, turn, '{"model":"m","messages":[{"role":"system","content":"Translate the text below into German."},{"role":"user","content":' || to_json(role) || '}],"temperature":0,"stream":false}' AS chat,
- '{"model":"m","prompt":"en>de:' || role || '/German","temperature":0,"stream":false,"stop":["<end_of_turn>"]}' AS completion FROM conversations""")
+@query("""SELECT conv_id, turn, '{"model":"m","messages":[{"role":"system","content":"Translate the text below into German."},{"role":"user","content":' || to_json(text) || '}],"temperature":0,"stream":false}' AS chat,
+ '{"model":"m","prompt":' || to_json('en>de:' || text || '/German') || ',"temperature":0,"stream":false,"stop":["<end_of_turn>"]}' AS completion FROM conversations""")
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     system, none, to = requests.default_task(F.lit("de"), "the text below"), F.lit(""), F.lit("de")
-    chat = requests.request_body(requests.Config(model="m"), system, F.col("role"), none, to)
+    chat = requests.request_body(requests.Config(model="m"), system, F.col("text"), none, to)
     shape = requests.Config(model="m", transport="completions", prompt_template="{{.SourceLang}}>{{.TargetLang}}:{{.User}}/{{.TargetLangName}}")
-    return c.select("conv_id", "turn", chat.alias("chat"), requests.request_body(shape, system, F.col("role"), none, to).alias("completion"))
+    return c.select("conv_id", "turn", chat.alias("chat"), requests.request_body(shape, system, F.col("text"), none, to).alias("completion"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN NULL WHEN 1 THEN 'http' WHEN 2 THEN 'json' WHEN 3 THEN 'endpoint' WHEN 4 THEN 'no_choices' WHEN 5 THEN 'truncated' ELSE 'empty' END AS error_kind,
@@ -636,13 +662,14 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_report(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
-    """The flagship: per document its parts, bytes, oversize parts and round-trip verdict."""
-    docs = corpus(spark, sf_dir)
-    rows = parts.split(docs, size)
-    facts = rows.groupBy("doc_id").agg(F.sum("n_bytes").alias("bytes"), F.count_if("oversize").alias("oversize"))
-    merged = merge.merge(rows, ["doc_id"]).withColumnRenamed("text", "merged").join(docs.select("doc_id", "text"), "doc_id")
-    verdict = merge.roundtrip_verdict(F.col("text"), F.col("merged")).alias("verdict")
-    return merged.select("doc_id", "n_parts", verdict).join(facts, "doc_id")
+    """The flagship: per document its parts, bytes, oversize parts and round-trip verdict. No shuffle."""
+    d = parts.with_parts(parsed(spark, sf_dir), size).withColumn("texts", parts.texts_of())
+    sizes = F.transform("texts", lambda x: F.octet_length(x["text"]).cast("long"))
+    verdict = merge.roundtrip_verdict(F.col("text"), merge.join_parts(F.col("texts"))).alias("verdict")
+    return d.where(F.size("parts") > 0).select(
+        "doc_id", F.size("parts").alias("n_parts"), verdict, F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"),
+        F.size(F.filter(sizes, lambda x: x > size)).cast("long").alias("oversize"),
+    )
 
 
 QUERIES["split_report"] = split_report

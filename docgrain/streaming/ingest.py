@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import trim
 from ..operators.parts import split
 
 
@@ -26,5 +27,9 @@ def split_stream(docs: DataFrame, out: str, checkpoint: str, size: int = 8000) -
 
 
 def progress_stream(edits: DataFrame, key: str = "job_id") -> DataFrame:
-    """Running number of edited parts per job, from a stream of (job_id, part, text); for update mode."""
-    return edits.where(F.trim("text") != "").groupBy(key).agg(F.approx_count_distinct("part", 0.01).alias("done"))
+    """Running number of edited parts per job, exact, from a stream of (job_id, part, text); for update mode.
+
+    The state has a row for each job and part.
+    """
+    done = edits.where(trim(F.col("text")) != "").select(key, "part").dropDuplicates([key, "part"])
+    return done.groupBy(key).agg(F.count(F.lit(1)).alias("done"))

@@ -144,11 +144,11 @@ def test_outline_and_sections(spark):
 
 def test_verify(spark):
     cases = [
-        (MANUAL, []), (MANUAL.replace("make\n", "cmake\n"), ["code fence 6 was modified - code must be reproduced verbatim"]),
-        (MANUAL.replace("### Notes", "#### Notes"), ["heading 7 changed from level 3 to 4"]),
-        (MANUAL.replace("| 1 | 2 |\n", ""), ["table 10 has 2 rows, the source had 3"]), (MANUAL.replace("The end.", "Das Ende."), []),
-        (MANUAL.replace("The end.\n", ""), ["block count changed: 12 in the source, 11 in the reply"]),
-        (MANUAL.replace("intro line", "- intro line"), ["block 1 became a list, was a paragraph"]),
+        (MANUAL, []), (MANUAL.replace("make\n", "cmake\n"), ["at block 6: the code isn't the same any more"]),
+        (MANUAL.replace("### Notes", "#### Notes"), ["at block 7: heading level 3 expected, 4 found"]),
+        (MANUAL.replace("| 1 | 2 |\n", ""), ["at block 10: table of 3 rows expected, 2 found"]), (MANUAL.replace("The end.", "Das Ende."), []),
+        (MANUAL.replace("The end.\n", ""), ["expected 12 blocks but got 11"]),
+        (MANUAL.replace("intro line", "- intro line"), ["at block 1: prose expected, list found"]),
     ]
     df = spark.createDataFrame([(i, MANUAL, x) for i, (x, _) in enumerate(cases)], "i int, source string, rewritten string")
     assert [r.reasons for r in merge.verify(df).orderBy("i").collect()] == [want for _, want in cases]
