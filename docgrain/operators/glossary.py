@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE_SPAN, is_term, trim
+from ..functions.text import CODE_SPAN, is_term, language_name, trim
 
+# What ends a clause, what a word is, what identifiers look like, what a sentence is.
 CLAUSE = r'[,.;:!?()\[\]{}"—–\n]+'
 WORD = r"\p{L}[\p{L}0-9-]*"
 IDENTIFIER = r"[\p{L}0-9]+(?:[_./-][\p{L}0-9]+)+|[a-z]+[A-Z][\p{L}0-9]*"
@@ -162,16 +163,50 @@ def clean(answers: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(known, [*keys, "__low"], "left_semi").select(*keys, "term", "value")
 
 
-def to_file(entries: DataFrame, keys: list[str], source_lang: str, target_lang: str) -> DataFrame:
-    """Glossaries as JSON documents: keys, json."""
-    terms = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "value")))).alias("terms")
-    made = entries.groupBy(*keys).agg(terms)
-    body = F.struct(F.lit(source_lang).alias("source_lang"), F.lit(target_lang).alias("target_lang"), "terms")
+def term_requests(found: DataFrame, keys: list[str], source_lang: str, target_lang: str) -> DataFrame:
+    """One request per document for the terms of :func:`candidates`: keys, id, system, user (term and example per line)."""
+    line = F.concat(F.lit("- "), "term", F.when(F.col("example") != "", F.concat(F.lit(": "), "example")).otherwise(""))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    name = lambda c: language_name(F.lit(c))
+    system = F.concat(F.lit("You fix terminology. For each term give its translation from "), name(source_lang), F.lit(" into "),
+                      name(target_lang), F.lit(", as one JSON object from term to translation and nothing else. Keep product names."))
+    rows = found.groupBy(*keys).agg(F.array_join(lines, "\n").alias("user"))
+    return rows.select(*keys, F.sha2(F.concat_ws("\x1e", *[F.col(k).cast("string") for k in keys]), 256).alias("id"), system.alias("system"), "user")
+
+
+def build(found: DataFrame, keys: list[str], translator, source_lang: str, target_lang: str) -> DataFrame:
+    """The glossary of each document: keys, term, value, note. Documents without a usable reply have none."""
+    from ..plans.transform import ask
+
+    requests = term_requests(found, keys, source_lang, target_lang)
+    replies = requests.select(*keys, "id").join(ask(requests, translator), "id").where(F.col("reply").isNotNull())
+    answers = replies.select(*keys, F.explode(parse_reply(F.col("reply"))).alias("term", "value"))
+    told = notes(found).select(*keys, F.lower("term").alias("__low"), "note")
+    return clean(answers, found, keys).withColumn("__low", F.lower("term")).join(told, [*keys, "__low"], "left").drop("__low")
+
+
+def sorted_terms(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Glossaries as text, a line for each term, in order: keys, listing."""
+    line = F.struct("term", F.concat("term", F.lit(" = "), "value").alias("line"))
+    rows = entries.groupBy(*keys).agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    return rows.select(*keys, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("listing"))
+
+
+def to_file(entries: DataFrame, keys: list[str], source_lang: str, target_lang: str, model: str = "", generated: str = "") -> DataFrame:
+    """Glossaries as JSON documents: keys, json, with the notes of entries that have any."""
+    has = "note" in entries.columns
+    note = F.when(F.col("note") != "", F.struct("term", "note")) if has else F.lit(None).cast("struct<term: string, note: string>")
+    pairs = lambda x: F.map_from_entries(F.array_sort(F.collect_list(x)))
+    made = entries.groupBy(*keys).agg(pairs(F.struct("term", "value")).alias("terms"), pairs(note).alias("notes"))
+    head = [F.lit(v or None).cast("string").alias(n) for n, v in (
+        ("source_lang", source_lang), ("target_lang", target_lang), ("model", model), ("generated", generated))]
+    body = F.struct(*head, "terms", F.when(F.size("notes") > 0, F.col("notes")).alias("notes"))
     return made.select(*keys, F.to_json(body).alias("json"))
 
 
 def from_file(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries of glossary documents (keys, json): keys, term, value."""
+    """Entries of glossary documents (keys, json): keys, term, value, note, model, generated."""
     schema = "source_lang string, target_lang string, model string, generated string, terms map<string,string>, notes map<string,string>"
-    read = files.select(*keys, F.from_json("json", schema)["terms"].alias("terms"))
-    return read.select(*keys, F.explode("terms").alias("term", "value"))
+    read = files.select(*keys, F.from_json("json", schema).alias("g"))
+    rows = read.select(*keys, "g", F.explode("g.terms").alias("term", "value"))
+    return rows.select(*keys, "term", "value", F.try_element_at("g.notes", "term").alias("note"), "g.model", "g.generated")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, trim
-from .merge import join_parts, roundtrip_verdict
+from .merge import join_parts, roundtrip_verdict, verify
 
 TOOL, VERSION, URL = "docgrain", "0.1.0", ""
 STAMP_KEY = "translation:"
@@ -75,7 +75,7 @@ def manifests(parts: DataFrame, docs: DataFrame, size: int, key: str = "doc_id",
     )
     gaps = F.filter(F.transform("items", lambda p: p["gap_after"]), lambda g: g.isNotNull())
     return m.select(
-        job_id(source, F.lit(size)).alias("job_id"), key, source.alias("source_file"),
+        job_id(source, F.lit(size)).alias("job_id"), *([] if key == "job_id" else [key]), source.alias("source_file"),
         F.size("items").alias("total_parts"), F.lit(size).alias("size"), F.lit(target).alias("target"),
         gaps.alias("gaps"), full.alias("parts"), "source_sha256", "source_chars",
         F.struct(
@@ -225,3 +225,65 @@ def lookup(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (job_id) with what is known of each job and a status that says so if nothing is."""
     j = wanted.join(jobs, "job_id", "left")
     return j.withColumn("status", F.when(F.col("source_file").isNull(), "unknown job: split the document again").otherwise("ok"))
+
+
+def get_parts(parts: DataFrame, edits: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (keys) with text (the edit, or else the original), edited, and error: why there is no such part."""
+    group = [k for k in keys if k != "part"]
+    totals = parts.groupBy(*group).agg(F.max("part").alias("__total"))
+    now = with_edits(parts, edits, keys).select(*keys, F.col("current").alias("text"), "edited")
+    j = wanted.join(totals, group, "left").join(now, keys, "left")
+    error = F.when(F.col("__total").isNull(), "no such job").when(
+        ~F.col("part").between(1, F.col("__total")), F.format_string("part %d is not between 1 and %d", "part", "__total")
+    )
+    return j.withColumn("error", error).drop("__total")
+
+
+def put_parts(parts: DataFrame, texts: DataFrame, keys: list[str], at: str, skip_verify: bool = False) -> DataFrame:
+    """``texts`` (keys, text) as edits where they may be stored: keys, source_hash, text, updated_at, stored, reasons.
+
+    Refused are blank texts, parts that the job doesn't have, and texts whose structure differs from the
+    original's (unless ``skip_verify``). Append the rows with ``stored`` to the edits.
+    """
+    rows = texts.select(*keys, F.col("text").alias("__text"))
+    j = rows.join(parts.select(*keys, F.col("text").alias("__source")), keys, "left")
+    checked = verify(j, "__source", "__text")
+    blank = trim(F.coalesce("__text", F.lit(""))) == ""
+    why = (
+        F.when(F.col("__source").isNull(), F.array(F.lit("no such part"))).when(blank, F.array(F.lit("the text is blank")))
+        .otherwise(F.when(F.lit(skip_verify), F.array().cast("array<string>")).otherwise(F.col("reasons")))
+    )
+    return checked.select(
+        *keys, source_hash(F.col("__source")).alias("source_hash"), F.col("__text").alias("text"),
+        F.lit(at).alias("updated_at"), (F.size(why) == 0).alias("stored"), why.alias("reasons"),
+    )
+
+
+def fresh_edits(edits: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The edits whose part still has the text that they were made from.
+
+    After a document has changed and was split again, an edit follows its text to the part that holds it
+    now (the first, if several do); edits of texts that are gone drop out. ``edits`` have source_hash.
+    """
+    group = [k for k in keys if k != "part"]
+    now = parts.select(*group, F.col("part").alias("__part"), source_hash(F.col("text")).alias("source_hash"))
+    now = now.groupBy(*group, "source_hash").agg(F.min("__part").alias("__part"))
+    moved = edits.join(now, [*group, "source_hash"], "inner").drop("part").withColumnRenamed("__part", "part")
+    return moved.select(*edits.columns)
+
+
+def merge_stamped(parts: DataFrame, edits: DataFrame, docs: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged documents with their stamps: group keys, file, merged, n_edited, n_parts, verdict.
+
+    jobs: as from :func:`manifests` (and :func:`record_run`); the stamp tells how many parts are edited.
+    """
+    group = [k for k in keys if k != "part"]
+    m = merge_job(parts, edits, docs, keys).join(jobs.select(*group, "source_file", "target", "provenance"), group)
+    p, none = F.col("provenance"), F.lit(None).cast("string")
+    names = set(jobs.schema["provenance"].dataType.names)
+    for name, value in (("target_lang", none), ("model", none), ("mode", none), ("translated", none), ("machine_translation", F.lit(False))):
+        if name not in names:
+            p = p.withField(name, value)
+    done = F.format_string("%d/%d", "n_edited", "n_parts")
+    return m.select(*group, merged_file(F.col("source_file"), F.col("target")).alias("file"),
+                    stamp(F.col("merged"), yaml_block(p, done)).alias("merged"), "n_edited", "n_parts", "verdict")

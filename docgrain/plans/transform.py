@@ -1,7 +1,7 @@
 """Parts through a translator: fragments or whole parts out, guarded and verified parts back.
 
-The translator is any function from a list of (system, user) to a list of replies (None where there
-was no usable one). It runs in one Arrow stage; masking, guards, restoring and verification are
+The translator is any function from a list of (system, user) to a list of replies (a Failure, or None,
+where there was no usable one). It runs in one Arrow stage; masking, guards, restoring and verification are
 column expressions. Requests are deduplicated, so that a repeated fragment is asked for once.
 """
 
@@ -17,10 +17,23 @@ from pyspark.sql import functions as F
 from ..functions.spans import applies, fit, mask, numbered_items, restore, tokens, unwrap
 from ..functions.text import is_short_fragment, trim
 from ..operators.fragments import piece_rows, with_masked
+from ..operators.jobs import source_hash
 from ..operators.merge import verify
 from .requests import FRAGMENT_RULES, LIST_RULES, PART_RULES, default_task, instruction
 
-Translator = Callable[[list[tuple[str, str]]], list[str | None]]
+
+
+@dataclass(frozen=True)
+class Failure:
+    """What a translator gives in place of a reply: the kind of the failure, and what was said."""
+
+    kind: str
+    message: str = ""
+
+
+Translator = Callable[[list[tuple[str, str]]], list[str | Failure | None]]
+#: Requests that a translator gets at a time; their replies go on to Spark before the next ones are asked for.
+LOT = 32
 
 
 @dataclass
@@ -36,20 +49,31 @@ class Options:
     batch_short: bool = True
 
 
-def ask(requests: DataFrame, translator: Translator) -> DataFrame:
-    """``requests`` (id string, system, user) to (id, reply); null where the translator gave none.
+REPLY = "id string, reply string, error_kind string, error string"
 
-    Rows are asked for in the batches that Arrow hands over. A retried task asks again, so the
-    translator should answer alike; write the result before using it twice.
+
+def ask(requests: DataFrame, translator: Translator, lot: int = LOT) -> DataFrame:
+    """``requests`` (id string, system, user) to (id, reply, error_kind, error): a reply, or why there is none.
+
+    A translator gets ``lot`` rows at a time. A request without a user text isn't asked, and has neither.
+    A retried task asks again, so write the result before using it twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            replies = translator(pairs) if pairs else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], ["id", "reply"])
+            for at in range(0, len(batch), lot):
+                ids, system, user = (c.to_pylist() for c in batch.slice(at, lot).columns)
+                pairs = [(x, y) for x, y in zip(system, user) if y is not None]
+                replies = iter(translator(pairs) if pairs else [])
+                got = [next(replies) if y is not None else Failure("") for y in user]
+                got = [Failure("unknown", "no reply") if g is None else g for g in got]
+                bad = [g if isinstance(g, Failure) and g.kind else None for g in got]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.string()), pa.array([None if isinstance(g, Failure) else g for g in got], pa.string()),
+                    pa.array([g and g.kind for g in bad], pa.string()), pa.array([g and g.message for g in bad], pa.string()),
+                ], ["id", "reply", "error_kind", "error"])
 
-    return requests.select("id", "system", "user").mapInArrow(run, "id string, reply string")
+    return requests.select("id", "system", "user").mapInArrow(run, REPLY)
 
 
 def _terms(df: DataFrame, text: str, glossary: dict[str, str]) -> DataFrame:
@@ -67,7 +91,7 @@ def _task(options: Options, unit: str):
 
 def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options: Options) -> DataFrame:
     """Parts rewritten fragment by fragment: keys, out, kept (fragments left as they were after an unusable
-    reply), error (if a request had no reply), requests, accepted (answered in a list), reused."""
+    reply), error_kind and error (of the first request without a reply), requests, accepted (answered in a list), reused."""
     rows = piece_rows(parts, keys)
     own = rows.where("translate").withColumn("masked", mask(F.col("text"))).withColumn("saved", tokens(F.col("text")))
     own = own.withColumn("scope", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
@@ -75,7 +99,12 @@ def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options
     distinct = own.groupBy(*keys, "id", "masked").agg(
         F.min_by("text", "piece_idx").alias("text"), F.min("piece_idx").alias("piece_idx"), F.count(F.lit(1)).alias("uses")
     )
-    replies = None
+    single = _terms(distinct, "text", options.glossary)
+    single = single.select(
+        "id", F.col("masked").alias("user"),
+        instruction(_task(options, "the text below"), FRAGMENT_RULES, F.col("applied")).alias("system"),
+    )
+    none = F.lit(None).cast("string")
     if options.batch_short:
         short = distinct.where(is_short_fragment(F.col("text"), F.lit(True)))
         lists = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "id", "masked", "text"))).alias("items"))
@@ -90,33 +119,37 @@ def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options
         got = answered.select("items", F.explode(numbered_items(F.col("reply"), F.size("items"))).alias("r"))
         got = got.select(F.get("items", F.col("r.n") - 1).alias("x"), F.col("r.text").alias("reply"))
         got = got.withColumn("fitted", fit(F.col("x.text"), F.col("reply"))).where("fitted.error is null")
-        replies = got.groupBy(F.col("x.id").alias("id")).agg(F.max("fitted.text").alias("reply"))
-        replies = replies.withColumn("batched", F.lit(True))
-        rest = distinct.join(replies, "id", "left_anti")
+        listed = got.groupBy(F.col("x.id").alias("id")).agg(F.max("fitted.text").alias("listed"))
+        # What a list has answered goes through the second asking unasked, so every reply is used from one place.
+        single = single.join(listed, "id", "left")
     else:
-        rest = distinct
-    single = _terms(rest, "text", options.glossary)
-    single = single.select(
-        "id", "masked", "applied", F.col("masked").alias("user"),
-        instruction(_task(options, "the text below"), FRAGMENT_RULES, F.col("applied")).alias("system"),
+        single = single.withColumn("listed", none)
+    open_ = F.when(F.col("listed").isNull(), F.col("user"))
+    asked = single.select(F.concat(F.coalesce(F.concat(F.lit("="), "listed"), F.lit("")), F.lit("\x1e"), "id").alias("id"), "system", open_.alias("user"))
+    alone = ask(asked, translator)
+    own_id, listed = F.substring_index("id", "\x1e", -1), F.substring_index("id", "\x1e", 1)
+    batched = F.startswith("id", F.lit("="))
+    replies = alone.select(
+        own_id.alias("id"), F.when(batched, F.substr(listed, F.lit(2))).otherwise(F.col("reply")).alias("reply"),
+        batched.alias("batched"), "error_kind", "error",
     )
-    alone = ask(single, translator).withColumn("batched", F.lit(False))
-    replies = alone if replies is None else replies.unionByName(alone)
     done = own.join(replies, "id", "left").withColumn("fitted", fit(F.col("text"), trim(F.col("reply"))))
     done = done.withColumn("back", restore(F.col("fitted.text"), F.col("saved")))
     done = done.select(
         *keys, "piece_idx", F.coalesce("back.text", "text").alias("out"),
         (F.col("back.text").isNull() & F.col("reply").isNotNull()).alias("kept"), "id", "batched",
-        F.col("reply").isNull().alias("failed"),
+        F.when(F.col("reply").isNull(), F.struct("piece_idx", F.coalesce("error_kind", F.lit("unknown")).alias("kind"), "error")).alias("failed"),
     )
     literal = rows.where("not translate").select(*keys, "piece_idx", F.col("text").alias("out"), F.lit(False).alias("kept"),
-                                                 F.lit(None).cast("string").alias("id"), F.lit(None).cast("boolean").alias("batched"), F.lit(False).alias("failed"))
+                                                 F.lit(None).cast("string").alias("id"), F.lit(None).cast("boolean").alias("batched"),
+                                                 F.lit(None).cast("struct<piece_idx: int, kind: string, error: string>").alias("failed"))
     all_ = done.unionByName(literal)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece_idx", "out"))), lambda p: p["out"])
     return all_.groupBy(*keys).agg(
         F.concat(trim(F.concat_ws("", ordered)), F.lit("\n")).alias("out"),
         F.count_if("kept").alias("kept"),
-        F.when(F.bool_or("failed"), "no reply").alias("error"),
+        F.min("failed")["kind"].alias("error_kind"),
+        F.coalesce(F.min("failed")["error"], F.min("failed")["kind"]).alias("error"),
         F.count_distinct(F.when(~F.col("batched"), F.col("id"))).alias("requests"),
         F.count_distinct(F.when(F.col("batched"), F.col("id"))).alias("accepted"),
         (F.count("id") - F.count_distinct("id")).alias("reused"),
@@ -132,8 +165,9 @@ def by_parts(parts: DataFrame, keys: list[str], translator: Translator, options:
     j = m.join(ask(asked, translator), "id", "left")
     j = j.withColumn("back", restore(trim(unwrap(F.col("reply"), F.col("masked"))), F.col("tokens")))
     out = F.when(F.col("reply").isNotNull() & F.col("back.error").isNull(), F.concat(trim(F.col("back.text")), F.lit("\n")))
-    error = F.when(F.col("reply").isNull(), "no reply").otherwise(F.col("back.error"))
-    return j.select(*keys, out.alias("out"), error.alias("error"), F.size("tokens").alias("masked"))
+    error = F.when(F.col("reply").isNull(), F.coalesce("error", "error_kind")).otherwise(F.col("back.error"))
+    kind = F.when(F.col("reply").isNull(), F.col("error_kind")).when(F.col("back.error").isNotNull(), F.lit("markers"))
+    return j.select(*keys, out.alias("out"), kind.alias("error_kind"), error.alias("error"), F.size("tokens").alias("masked"))
 
 
 def transform_parts(parts: DataFrame, keys: list[str], translator: Translator, options: Options | None = None) -> DataFrame:
@@ -150,6 +184,22 @@ def transform_parts(parts: DataFrame, keys: list[str], translator: Translator, o
     return checked.withColumn("stored", fine)
 
 
+def as_edits(transformed: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Rows of :func:`transform_parts` that may be stored, as edits: keys, source_hash, text, updated_at.
+
+    An edit belongs to the text that it was made from, so it drops out when the source changes.
+    """
+    rows = transformed.where("stored")
+    return rows.select(*keys, source_hash(F.col("source")).alias("source_hash"), F.col("out").alias("text"), F.lit(at).alias("updated_at"))
+
+
+def rejections(transformed: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The other rows: keys, source_hash, text (what was refused), reasons (the error, or the findings), updated_at."""
+    rows = transformed.where("not stored")
+    why = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("reasons"))
+    return rows.select(*keys, source_hash(F.col("source")).alias("source_hash"), F.col("out").alias("text"), why.alias("reasons"), F.lit(at).alias("updated_at"))
+
+
 def identity(requests: list[tuple[str, str]]) -> list[str | None]:
     """The translator that changes nothing: for tests and dry runs."""
     return [user for _, user in requests]

@@ -26,9 +26,26 @@ def line_rows(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return docs.select(*keys, F.posexplode(lines(F.col(text))).alias("line_idx", "line"))
 
 
-def write_parts(parts: DataFrame, path: str, by: str = "job_id") -> None:
-    """Part rows as Parquet, a folder per job."""
-    parts.write.mode("overwrite").partitionBy(by).parquet(path)
+def write_parts(parts: DataFrame, path: str, by: str = "job_id", buckets: int = 64) -> None:
+    """Part rows as Parquet, in ``buckets`` folders by hash of the job, so that a job is read from one of them."""
+    bucket = F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")
+    parts.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str, job: str | None = None, by: str = "job_id", buckets: int = 64) -> DataFrame:
+    """Parts of :func:`write_parts`; of one job, from its folder alone."""
+    parts = spark.read.parquet(path)
+    if job is not None:
+        one = spark.range(1).select(F.pmod(F.xxhash64(F.lit(job)), F.lit(buckets)).cast("int")).first()[0]
+        parts = parts.where((F.col("bucket") == one) & (F.col(by) == job))
+    return parts.drop("bucket")
+
+
+def write_part_files(parts: DataFrame, path: str, file: str = "file", text: str = "text") -> None:
+    """Each part as a file of its own below ``path``, named by ``file``, written by the tasks through Hadoop-style
+    partition folders: one folder a file, its text as it is."""
+    rows = parts.select(F.col(file).alias("file"), F.regexp_replace(text, "\n\\z", "").alias("value"))
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("file").text(path)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

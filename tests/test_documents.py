@@ -304,7 +304,8 @@ def test_http_translator():
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     ask = endpoint.http_translator(requests.Config(model="m", url=f"http://127.0.0.1:{server.server_port}/v1"))
-    assert ask([("s", x) for x in ("a", "fail", "cut", "bad", "")]) == ["A", None, None, None, None]
+    got = ask([("s", x) for x in ("a", "fail", "cut", "bad", "")])
+    assert got[0] == "A" and [g.kind for g in got[1:]] == ["http", "truncated", "json", "empty"] and "500" in got[1].message
     server.shutdown()
 
 
@@ -325,7 +326,8 @@ def test_every_query_has_sql_or_a_reason():
     import __spark_entry__ as e
     from docgrain import queries
 
-    assert set(queries.SQL) == set(queries.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
+    assert set(queries.QUERIES) - set(queries.SQL) == {"parse_pages"}  # held against plain code in test_write_back
+    assert set(e.oracle_sql()) <= set(e.queries())
 
 
 def test_progress_stream(spark, tmp_path):
