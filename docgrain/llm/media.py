@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, named_rows
+from .common import checkpointed, small_or_not
 from .storage import Store
 
 #: Pixels of an image row; a payload is whole rows.
@@ -30,6 +30,8 @@ _SIGN = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 LEVEL = 6
 SHARD_BYTES = 256 << 20
+#: Shards that a reading task keeps open.
+OPEN = 8
 INDEX = "doc_id long, n_bytes long, shard string, digest string, offset long, length long"
 
 
@@ -127,10 +129,13 @@ def store_payloads(docs: DataFrame, folder: str, width: int = WIDTH) -> DataFram
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = checkpointed(narrow.mapInArrow(run, INDEX))
-    first = F.min(F.struct("shard", "offset", "length")).alias("place")
-    places = found.groupBy("digest").agg(first, F.count(F.lit(1)).alias("rows"))
-    index = named_rows(found.select("doc_id", "n_bytes", "digest"), places, "digest", "rows")
-    return checkpointed(index.select("doc_id", "n_bytes", "place.shard", "digest", "place.offset", "place.length"))
+    place = F.struct("shard", "offset", "length")
+    places = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    moved = small_or_not(places.where("first <> last").select(F.col("digest").alias("d"), "first"))
+    # Only rows whose digest has several places look one up; all others stay where they are, in order of their shard.
+    index = found.join(moved, F.col("digest") == F.col("d"), "left")
+    at = [F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) for c in ("shard", "offset", "length")]
+    return checkpointed(index.select("doc_id", "n_bytes", at[0], "digest", *at[1:]))
 
 
 def _read(
@@ -145,17 +150,20 @@ def _read(
     where = [index.columns.index(c) for c in ("shard", "digest", "offset", "length")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, name, file = Store(folder), None, None
+        store = Store(folder)
+        files: OrderedDict = OrderedDict()  # the last few shards, open
         recent: OrderedDict = OrderedDict()  # results by place: copies in a row of rows cost one read
         for batch in batches:
             rows = []
             for shard, digest, offset, length in zip(*(batch.column(i).to_pylist() for i in where)):
                 place = (shard, offset)
                 if place not in recent:
-                    if shard != name:
-                        if file is not None:
-                            file.close()
-                        name, file = shard, store.reader(shard)
+                    if shard not in files:
+                        files[shard] = store.reader(shard)
+                        if len(files) > OPEN:
+                            files.popitem(last=False)[1].close()
+                    files.move_to_end(shard)
+                    file = files[shard]
                     file.seek(offset)
                     recent[place] = made(file.read(length if size is None else min(size, length)), digest)
                     if len(recent) > remember:
@@ -165,7 +173,7 @@ def _read(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names
             )
-        if file is not None:
+        for file in files.values():
             file.close()
 
     return index.mapInArrow(run, schema)
