@@ -28,18 +28,20 @@ NODES = 4000
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+    light: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (binary, little-endian
     unsigned 32-bit) if asked for.
 
     Null and empty texts give one piece that holds the end id alone. Repeated rows give pieces of
-    their own. Other columns of ``docs`` are ignored, whatever their names.
+    their own, and null doc_ids stay. Other columns of ``docs`` are ignored, whatever their names. ``light``:
+    with less memory for the encoder, where workers have served other stages before.
     """
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
+        enc, end = encoder(tokenizer, light), np.array([end_id], "<u4")
         for batch in batches:
             keys = batch.column(0)
             for first, counts, rows in enc.blocks(batch.column(1), True):
@@ -280,9 +282,11 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(data.alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, light: bool = False
+) -> DataFrame:
     """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     See :func:`pieces` for null, empty, long and repeated texts, and :func:`pack` for the rest.
     """
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, light=light), capacity)

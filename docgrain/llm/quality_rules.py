@@ -231,8 +231,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label: str = "quality") -> D
     learned rule that rejects it, or null) and kept.
 
     A document is kept if it neither fails the base limits nor meets a rule. Null and empty texts
-    have no word and fail; repeated rows stay; other columns are ignored; an empty table gives an
-    empty table. Statistics are made once and written to the shared checkpoint folder.
+    have no word and fail; long texts count whole; repeated rows and null doc_ids stay; other columns are
+    ignored; an empty table gives an empty table. Statistics are made once and written to the shared checkpoint folder.
     """
     stats = checkpointed(statistics(docs, ["doc_id"]))
     rules = fit(stats, labels, label)

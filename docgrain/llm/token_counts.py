@@ -33,7 +33,8 @@ def token_count(tokenizer: str):
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
-    Null texts count as empty (0 bytes, 0 tokens); repeated rows stay; other columns are ignored.
+    Null texts count as empty (0 bytes, 0 tokens); long texts count whole; repeated rows and null doc_ids
+    stay; other columns are ignored; an empty table gives an empty one.
     """
     return docs.select(
         "doc_id",
