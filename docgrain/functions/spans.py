@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PROTECTED, STRUCTURAL, trim
+from .text import PROTECTED, STRUCTURAL, let, trim
 
 MARKER = r"⟦[\t\n\f\r ]*([0-9]+)[\t\n\f\r ]*⟧"
 BLANK_LINE = r"\n[ \t]*\n[\t\n\f\r ]*"
@@ -24,42 +24,40 @@ def tokens(text: Column) -> Column:
 def mask(text: Column, first: Column | int = 0) -> Column:
     """The text with its k-th protected span replaced by the marker of number ``first`` + k."""
     start = F.lit(first) if isinstance(first, int) else first
-    rest = F.split(text, PROTECTED, -1)
-    n = F.size(rest)
-    marked = F.transform(
+    marked = lambda rest: F.transform(
         rest,
-        lambda s, i: F.when(i + 1 < n, F.concat(s, F.lit("⟦"), (i + start).cast("string"), F.lit("⟧"))).otherwise(s),
+        lambda s, i: F.when(i + 1 < F.size(rest), F.concat(s, F.lit("⟦"), (i + start).cast("string"), F.lit("⟧"))).otherwise(s),
     )
-    return F.concat_ws("", marked)
+    return F.concat_ws("", let(F.split(text, PROTECTED, -1), marked))
 
 
 def restore(text: Column, saved: Column) -> Column:
     """(text, error): markers replaced by their spans in one pass; an error names the least marker that is
     lost, repeated, or was never sent, and leaves the text null."""
-    plain = F.regexp_replace(text, MARKER, "⟦$1⟧")
-    found = F.transform(
-        F.regexp_extract_all(plain, F.lit(MARKER), F.lit(1)), lambda d: d.try_cast("bigint")
-    )
     n = F.size(saved)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    def times(i: Column) -> Column:
-        return F.size(F.filter(found, lambda m: m == i))
+    def trouble(found: Column) -> Column:
+        times = lambda i: F.size(F.filter(found, lambda m: m == i))
+        wrong = F.get(F.filter(places, lambda i: times(i) != 1), F.lit(0))
+        unknown = F.array_min(F.filter(found, lambda m: m >= n))
+        return (
+            F.when(wrong.isNotNull(), F.format_string("marker %d came back %d times, expected once", wrong, times(wrong)))
+            .when(unknown.isNotNull(), F.format_string("marker %d was never sent", unknown))
+            .otherwise("marker without a usable number")
+        )
 
-    wrong = F.get(F.filter(places, lambda i: times(i) != 1), F.lit(0))
-    unknown = F.array_min(F.filter(found, lambda m: m >= n))
-    odd = F.exists(found, lambda m: m.isNull())
-    error = (
-        F.when(text.isNull(), F.lit("no text"))
-        .when(wrong.isNotNull(), F.format_string("marker %d came back %d times, expected once", wrong, times(wrong)))
-        .when(unknown.isNotNull(), F.format_string("marker %d was never sent", unknown))
-        .when(odd, F.lit("marker without a usable number"))
-    )
-    rest = F.split(plain, MARKER, -1)
-    put = F.transform(
-        rest, lambda s, i: F.concat(s, F.coalesce(F.get(saved, F.get(found, i).cast("int")), F.lit("")))
-    )
-    return F.struct(F.when(error.isNull(), F.concat_ws("", put)).alias("text"), error.alias("error"))
+    def body(plain: Column) -> Column:
+        def put(found: Column) -> Column:
+            fine = F.array_sort(found) == places
+            both = F.arrays_zip(F.split(plain, MARKER, -1).alias("s"), found.alias("m"))
+            spans = F.transform(both, lambda x: F.concat(x["s"], F.coalesce(F.get(saved, x["m"].cast("int")), F.lit(""))))
+            error = F.when(plain.isNull(), F.lit("no text")).when(~fine, trouble(found))
+            return F.struct(F.when(fine, F.concat_ws("", spans)).alias("text"), error.alias("error"))
+
+        return let(F.transform(F.regexp_extract_all(plain, F.lit(MARKER), F.lit(1)), lambda d: d.try_cast("bigint")), put)
+
+    return let(F.regexp_replace(text, MARKER, "⟦$1⟧"), body)
 
 
 def fit(source: Column, reply: Column) -> Column:
@@ -93,13 +91,15 @@ def fence_run(line: Column) -> Column:
 
 def unwrap(reply: Column, source: Column) -> Column:
     """A reply without a code fence round the whole of it, unless the source begins with one itself."""
-    rows = F.split(trim(reply), "\n", -1)
-    n = F.size(rows)
-    marker = fence_run(F.get(rows, F.lit(0)))
-    last = trim(F.get(rows, n - 1))
-    ends = last.startswith(marker) & (F.regexp_replace(last, "^`+$|^~+$", "") == "")
-    whole = (n >= 3) & (marker != "") & ends & (fence_run(F.get(F.split(trim(source), "\n", 2), F.lit(0))) == "")
-    return F.when(whole, F.array_join(F.slice(rows, 2, F.greatest(n - 2, F.lit(0))), "\n")).otherwise(reply)
+    def inner(rows: Column) -> Column:
+        n = F.size(rows)
+        marker = fence_run(F.get(rows, F.lit(0)))
+        last = trim(F.get(rows, n - 1))
+        ends = last.startswith(marker) & (F.regexp_replace(last, "^`+$|^~+$", "") == "")
+        whole = (n >= 3) & (marker != "") & ends & (fence_run(F.get(F.split(trim(source), "\n", 2), F.lit(0))) == "")
+        return F.when(whole, F.array_join(F.slice(rows, 2, F.greatest(n - 2, F.lit(0))), "\n")).otherwise(reply)
+
+    return let(F.split(trim(reply), "\n", -1), inner)
 
 
 def term_pattern(term: Column) -> Column:

@@ -172,10 +172,19 @@ def language_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(trim(code))), trim(code))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value evaluated once, where a lambda or several branches use it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def min_fill(level: Column, size: Column) -> Column:
     """Bytes that a part must hold before a heading of ``level`` may begin the next one."""
     return F.when(level <= 2, F.floor(size / 4)).otherwise(F.floor(size / 2)).cast("int")
 
 
+#: Characters of a fragment that may be asked for in a list.
+SHORT = 60
+
+
 def is_short_fragment(text: Column, translate: Column) -> Column:
-    return translate & (F.char_length(text) <= 60)
+    return translate & (F.char_length(text) <= SHORT)

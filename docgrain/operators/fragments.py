@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PROTECTED
+from ..functions.text import PROTECTED, SHORT
 from .blocks import SPACE, parse
 
 _S = "".join(c for c in SPACE if c != "\n")
@@ -101,15 +101,39 @@ def mask_part(part: str | None) -> tuple[str, list[str]]:
     return "".join(masked(kind, text) for kind, text in _rendered(part)), saved
 
 
-def with_pieces(parts: DataFrame, text: str = "text", out: str = "pieces") -> DataFrame:
-    """``parts`` with ``out``: array of (text, translate)."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("translate", pa.bool_())]))
-
-    @F.arrow_udf("array<struct<text: string, translate: boolean>>")
+def requests_of(part: str | None) -> dict[str, list]:
+    """Pieces (text, request, tokens) of a part; its requests (text, masked): each masked text that may be
+    rewritten, once; and the places of short requests. A piece names its request by place (null: it stays as it
+    is) and has its own protected spans."""
+    places: dict[str, int] = {}
+    rows, asked = [], []
+    for text, free in pieces(part):
+        if not free:
+            rows.append({"text": text, "request": None, "tokens": None})
+            continue
+        saved = [m[0] for m in _PROTECTED.finditer(text)]
+        number = iter(range(len(saved)))
+        masked = _PROTECTED.sub(lambda m: f"⟦{next(number)}⟧", text)
+        if masked not in places:
+            places[masked] = len(asked)
+            asked.append({"text": text, "masked": masked})
+        rows.append({"text": text, "request": places[masked], "tokens": saved})
+    return {"pieces": rows, "requests": asked, "short": [i for i, x in enumerate(asked) if len(x["text"]) <= SHORT]}
+
+
+def with_requests(parts: DataFrame, text: str = "text", out: str = "work") -> DataFrame:
+    """``parts`` with ``out``: (pieces, requests, short) of each part, see :func:`requests_of`."""
+    piece = pa.struct([("text", pa.string()), ("request", pa.int32()), ("tokens", pa.list_(pa.string()))])
+    request = pa.struct([("text", pa.string()), ("masked", pa.string())])
+    kind = pa.struct([("pieces", pa.list_(piece)), ("requests", pa.list_(request)), ("short", pa.list_(pa.int32()))])
+
+    @F.arrow_udf(
+        "struct<pieces: array<struct<text: string, request: int, tokens: array<string>>>, "
+        "requests: array<struct<text: string, masked: string>>, short: array<int>>"
+    )
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [[{"text": t, "translate": p} for t, p in pieces(x.as_py())] for x in texts]
-            yield pa.array(rows, kind)
+            yield pa.array([requests_of(x.as_py()) for x in texts], kind)
 
     return parts.withColumn(out, run(F.col(text)))
 
@@ -124,10 +148,3 @@ def with_masked(parts: DataFrame, text: str = "text", out: str = "masked") -> Da
             yield pa.array([dict(zip(("masked", "tokens"), mask_part(x.as_py()))) for x in texts], kind)
 
     return parts.withColumn(out, run(F.col(text)))
-
-
-def piece_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per piece: keys, piece_idx (from 0), text, translate."""
-    return with_pieces(parts).select(*keys, F.posexplode("pieces").alias("piece_idx", "p")).select(
-        *keys, "piece_idx", "p.text", "p.translate"
-    )

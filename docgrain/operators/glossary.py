@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE_SPAN, is_term, language_name, trim
+from ..functions.text import CODE_SPAN, is_term, language_name, let, trim
 
 # What ends a clause, what a word is, what identifiers look like, what a sentence is.
 CLAUSE = r'[,.;:!?()\[\]{}"—–\n]+'
@@ -28,10 +28,6 @@ STOPWORDS = (
 ).split()
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _terms(clause: Column, stopwords: list[str]) -> Column:
     """The single words and adjacent pairs of a clause that can be terms: (term, word)."""
     stop = F.array(*map(F.lit, stopwords))
@@ -49,7 +45,7 @@ def _terms(clause: Column, stopwords: list[str]) -> Column:
 
         return F.flatten(F.transform(ws, at))
 
-    return _let(words, pairs)
+    return let(words, pairs)
 
 
 def code_words(blocks: Column) -> Column:
@@ -179,7 +175,7 @@ def build(found: DataFrame, keys: list[str], translator, source_lang: str, targe
     from ..plans.transform import ask
 
     requests = term_requests(found, keys, source_lang, target_lang)
-    replies = requests.select(*keys, "id").join(ask(requests, translator), "id").where(F.col("reply").isNotNull())
+    replies = requests.select(*keys, ask(translator)(F.col("system"), F.col("user"))["reply"].alias("reply")).where("reply is not null")
     answers = replies.select(*keys, F.explode(parse_reply(F.col("reply"))).alias("term", "value"))
     told = notes(found).select(*keys, F.lower("term").alias("__low"), "note")
     return clean(answers, found, keys).withColumn("__low", F.lower("term")).join(told, [*keys, "__low"], "left").drop("__low")

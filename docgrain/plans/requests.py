@@ -132,10 +132,15 @@ def reply_outcome(status: Column, body: Column) -> Column:
     return F.struct(kind.isNull().alias("ok"), F.when(kind.isNull(), content).alias("text"), kind.alias("error_kind"))
 
 
-def instruction(task: Column, rules: str, terms: Column) -> Column:
+def fixed_terms(terms: Column) -> Column:
+    """The end of a system prompt: the glossary lines that apply, in order; '' for none."""
+    return F.when(F.size(terms) > 0, F.concat(F.lit("\n\nFixed terms:\n"), F.array_join(F.array_sort(terms), "\n"))).otherwise("")
+
+
+def instruction(task: Column, rules: str, terms: Column | None = None) -> Column:
     """A system prompt: the task, the rules, and the glossary lines that apply, in order."""
-    lines = F.array_join(F.array_sort(terms), "\n")
-    return F.concat(task, F.lit("\n\n" + rules), F.when(F.size(terms) > 0, F.concat(F.lit("\n\nFixed terms:\n"), lines)).otherwise(""))
+    head = F.concat(task, F.lit("\n\n" + rules))
+    return head if terms is None else F.concat(head, fixed_terms(terms))
 
 
 def default_task(language: Column, unit: str) -> Column:

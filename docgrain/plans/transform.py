@@ -11,16 +11,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import applies, fit, mask, numbered_items, restore, tokens, unwrap
-from ..functions.text import is_short_fragment, trim
-from ..operators.fragments import piece_rows, with_masked
+from ..functions.spans import fit, numbered_items, restore, term_pattern, unwrap
+from ..functions.text import trim
+from ..operators.fragments import with_masked, with_requests
 from ..operators.jobs import source_hash
 from ..operators.merge import verify
-from .requests import FRAGMENT_RULES, LIST_RULES, PART_RULES, default_task, instruction
-
+from .requests import FRAGMENT_RULES, LIST_RULES, PART_RULES, default_task, fixed_terms, instruction
 
 
 @dataclass(frozen=True)
@@ -49,40 +48,81 @@ class Options:
     batch_short: bool = True
 
 
-REPLY = "id string, reply string, error_kind string, error string"
+REPLY = "struct<reply: string, error_kind: string, error: string>"
+FOUND = "struct<reply: string, batched: boolean, error_kind: string, error: string>"
+
+
+def _outcomes(translator: Translator, pairs: list[tuple[str, str]], lot: int) -> Iterator[dict]:
+    """What the translator gives for each pair, asked for ``lot`` at a time: reply, error_kind, error."""
+    for at in range(0, len(pairs), lot):
+        for got in translator(pairs[at : at + lot]):
+            if isinstance(got, Failure):
+                yield {"reply": None, "error_kind": got.kind, "error": got.message}
+            elif got is None:
+                yield {"reply": None, "error_kind": "unknown", "error": "no reply"}
+            else:
+                yield {"reply": got, "error_kind": None, "error": None}
 
 
-def ask(requests: DataFrame, translator: Translator, lot: int = LOT) -> DataFrame:
-    """``requests`` (id string, system, user) to (id, reply, error_kind, error): a reply, or why there is none.
+def ask(translator: Translator, lot: int = LOT):
+    """Column function of (system, user): (reply, error_kind, error), a reply or why there is none.
 
-    A translator gets ``lot`` rows at a time. A request without a user text isn't asked, and has neither.
-    A retried task asks again, so write the result before using it twice.
+    A null user text isn't asked, and has neither. The function is marked as one whose answers may differ, so
+    that a plan evaluates it once; a retried task asks again.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(REPLY)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            for at in range(0, len(batch), lot):
-                ids, system, user = (c.to_pylist() for c in batch.slice(at, lot).columns)
-                pairs = [(x, y) for x, y in zip(system, user) if y is not None]
-                replies = iter(translator(pairs) if pairs else [])
-                got = [next(replies) if y is not None else Failure("") for y in user]
-                got = [Failure("unknown", "no reply") if g is None else g for g in got]
-                bad = [g if isinstance(g, Failure) and g.kind else None for g in got]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.string()), pa.array([None if isinstance(g, Failure) else g for g in got], pa.string()),
-                    pa.array([g and g.kind for g in bad], pa.string()), pa.array([g and g.message for g in bad], pa.string()),
-                ], ["id", "reply", "error_kind", "error"])
-
-    return requests.select("id", "system", "user").mapInArrow(run, REPLY)
-
-
-def _terms(df: DataFrame, text: str, glossary: dict[str, str]) -> DataFrame:
-    """``df`` with ``applied``: the glossary lines whose terms occur in the text."""
-    none = F.array().cast("array<string>")
-    if not glossary:
-        return df.withColumn("applied", none)
-    hits = [F.when(applies(F.lit(k), F.col(text)), F.lit(f"- {k} = {v}")) for k, v in sorted(glossary.items())]
-    return df.withColumn("applied", F.filter(F.array(*hits), lambda x: x.isNotNull()))
+            pairs = list(zip(*(c.to_pylist() for c in batch)))
+            replies = _outcomes(translator, [p for p in pairs if p[1] is not None], lot)
+            kind = pa.struct([(n, pa.string()) for n in ("reply", "error_kind", "error")])
+            yield pa.array([next(replies) if user is not None else None for _, user in pairs], kind)
+
+    return run.asNondeterministic()
+
+
+def ask_open(translator: Translator, lot: int = LOT):
+    """Column function of (system, requests: array of (terms, user), listed: array of (at, text)): for each request
+    (reply, batched, error_kind, error). Its system prompt is ``system`` and its terms. What is listed (the
+    greatest text for a place) isn't asked again."""
+    kind = pa.list_(pa.struct([("reply", pa.string()), ("batched", pa.bool_()), ("error_kind", pa.string()), ("error", pa.string())]))
+
+    @F.arrow_udf(f"array<{FOUND}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for system, requests, listed in batches:
+            requests, known = requests.to_pylist(), []
+            for items in listed.to_pylist():
+                known.append({})
+                for x in items or ():
+                    known[-1][x["at"]] = max(x["text"], known[-1].get(x["at"], x["text"]))
+            pairs = [
+                (head + x["terms"], x["user"])
+                for head, row, have in zip(system.to_pylist(), requests, known) for i, x in enumerate(row) if i not in have
+            ]
+            replies = _outcomes(translator, pairs, lot)
+            yield pa.array([
+                [{"reply": have[i], "batched": True} if i in have else {**next(replies), "batched": False} for i in range(len(row))]
+                for row, have in zip(requests, known)
+            ], kind)
+
+    return run.asNondeterministic()
+
+
+def _glossary(df: DataFrame, glossary: dict[str, str]) -> list[tuple[str, str]]:
+    """(pattern, line) of each entry. Patterns are made once, so that they are constants of the plan."""
+    entries = sorted(glossary.items())
+    if not entries:
+        return []
+    row = df.sparkSession.range(1).select(*[term_pattern(F.lit(k)).alias(f"p{i}") for i, (k, _) in enumerate(entries)]).first()
+    return [(p, f"- {k} = {v}") for p, (k, v) in zip(row, entries) if p is not None]
+
+
+def _applied(text: Column, lines: list[tuple[str, str]]) -> Column:
+    """The glossary lines whose terms occur in the text."""
+    if not lines:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(line)) for p, line in lines]), lambda x: x.isNotNull())
 
 
 def _task(options: Options, unit: str):
@@ -90,84 +130,76 @@ def _task(options: Options, unit: str):
 
 
 def by_blocks(parts: DataFrame, keys: list[str], translator: Translator, options: Options) -> DataFrame:
-    """Parts rewritten fragment by fragment: keys, out, kept (fragments left as they were after an unusable
-    reply), error_kind and error (of the first request without a reply), requests, accepted (answered in a list), reused."""
-    rows = piece_rows(parts, keys)
-    own = rows.where("translate").withColumn("masked", mask(F.col("text"))).withColumn("saved", tokens(F.col("text")))
-    own = own.withColumn("scope", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
-    own = own.withColumn("id", F.sha2(F.concat_ws("\x1e", "scope", "masked"), 256))
-    distinct = own.groupBy(*keys, "id", "masked").agg(
-        F.min_by("text", "piece_idx").alias("text"), F.min("piece_idx").alias("piece_idx"), F.count(F.lit(1)).alias("uses")
-    )
-    single = _terms(distinct, "text", options.glossary)
-    single = single.select(
-        "id", F.col("masked").alias("user"),
-        instruction(_task(options, "the text below"), FRAGMENT_RULES, F.col("applied")).alias("system"),
-    )
-    none = F.lit(None).cast("string")
+    """Parts rewritten fragment by fragment: keys, source, out, kept (fragments left as they were after an unusable
+    reply), error_kind and error (of the first request without a reply), requests, accepted (answered in a list), reused.
+
+    A part's requests and replies stay in its row: no join, and nothing is asked twice. Its pieces are guarded
+    as rows and meet again by the keys, the only shuffle. ``out`` is null for a part without any piece.
+    """
+    lines = _glossary(parts, options.glossary)
+    rows = with_requests(parts.select(*keys, F.col("text").alias("source")), "source")
+    listed = F.array().cast("array<struct<at: int, text: string>>")
     if options.batch_short:
-        short = distinct.where(is_short_fragment(F.col("text"), F.lit(True)))
-        lists = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece_idx", "id", "masked", "text"))).alias("items"))
-        lists = lists.where(F.size("items") > 1)
-        numbered = F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["masked"], F.lit("\n")))
-        lists = lists.select(
-            *keys, "items", F.sha2(F.concat_ws("\x1e", *[F.col(k).cast("string") for k in keys]), 256).alias("id"),
-            instruction(_task(options, "each numbered line"), LIST_RULES, F.array().cast("array<string>")).alias("system"),
-            F.concat_ws("", numbered).alias("user"),
-        )
-        answered = lists.join(ask(lists, translator), "id", "inner").where(F.col("reply").isNotNull())
-        got = answered.select("items", F.explode(numbered_items(F.col("reply"), F.size("items"))).alias("r"))
-        got = got.select(F.get("items", F.col("r.n") - 1).alias("x"), F.col("r.text").alias("reply"))
-        got = got.withColumn("fitted", fit(F.col("x.text"), F.col("reply"))).where("fitted.error is null")
-        listed = got.groupBy(F.col("x.id").alias("id")).agg(F.max("fitted.text").alias("listed"))
-        # What a list has answered goes through the second asking unasked, so every reply is used from one place.
-        single = single.join(listed, "id", "left")
-    else:
-        single = single.withColumn("listed", none)
-    open_ = F.when(F.col("listed").isNull(), F.col("user"))
-    asked = single.select(F.concat(F.coalesce(F.concat(F.lit("="), "listed"), F.lit("")), F.lit("\x1e"), "id").alias("id"), "system", open_.alias("user"))
-    alone = ask(asked, translator)
-    own_id, listed = F.substring_index("id", "\x1e", -1), F.substring_index("id", "\x1e", 1)
-    batched = F.startswith("id", F.lit("="))
-    replies = alone.select(
-        own_id.alias("id"), F.when(batched, F.substr(listed, F.lit(2))).otherwise(F.col("reply")).alias("reply"),
-        batched.alias("batched"), "error_kind", "error",
+        masked = lambda at: F.get("work.requests", at)["masked"]
+        items = F.transform("work.short", lambda at, i: F.concat((i + 1).cast("string"), F.lit(". "), masked(at), F.lit("\n")))
+        system = instruction(_task(options, "each numbered line"), LIST_RULES)
+        user = F.when(F.size("work.short") > 1, F.concat_ws("", items))
+        rows = rows.withColumn("list", ask(translator)(system, user))
+
+        def fitted(item: Column) -> Column:
+            at = F.get("work.short", item["n"] - 1)
+            return F.struct(at.alias("at"), fit(F.get("work.requests", at)["text"], item["text"])["text"].alias("text"))
+
+        got = F.transform(numbered_items(F.col("list.reply"), F.size("work.short")), fitted)
+        listed = F.coalesce(F.filter(got, lambda x: x["text"].isNotNull()), listed)
+    system = instruction(_task(options, "the text below"), FRAGMENT_RULES)
+    terms = lambda x: fixed_terms(_applied(x["text"], lines)) if lines else F.lit("")
+    asked = F.transform("work.requests", lambda x: F.struct(terms(x).alias("terms"), x["masked"].alias("user")))
+    rows = rows.withColumn("replies", ask_open(translator)(system, asked, listed))
+    batched = F.size(F.filter("replies", lambda r: r["batched"]))
+    once = lambda c: F.when(F.coalesce(F.col("piece_idx"), F.lit(0)) == 0, c)
+    rows = rows.withColumn("accepted", batched).select("*", F.posexplode_outer("work.pieces").alias("piece_idx", "p"))
+    rows = rows.select(
+        *keys, "piece_idx", "p.*", F.get("replies", F.col("p.request")).alias("r"), once(F.col("source")).alias("source"),
+        once(F.size("replies")).alias("n"), once(F.col("accepted")).alias("accepted"),
     )
-    done = own.join(replies, "id", "left").withColumn("fitted", fit(F.col("text"), trim(F.col("reply"))))
-    done = done.withColumn("back", restore(F.col("fitted.text"), F.col("saved")))
-    done = done.select(
-        *keys, "piece_idx", F.coalesce("back.text", "text").alias("out"),
-        (F.col("back.text").isNull() & F.col("reply").isNotNull()).alias("kept"), "id", "batched",
-        F.when(F.col("reply").isNull(), F.struct("piece_idx", F.coalesce("error_kind", F.lit("unknown")).alias("kind"), "error")).alias("failed"),
+    rows = rows.withColumn("fitted", fit(F.col("text"), trim(F.col("r.reply")))["text"])
+    plain = (F.size("tokens") == 0) & ~F.contains("fitted", F.lit("⟦"))
+    rows = rows.withColumn("back", F.when(plain, F.col("fitted")).otherwise(restore(F.col("fitted"), F.col("tokens"))["text"]))
+    own, silent = F.col("request").isNotNull(), F.col("r.reply").isNull()
+    rows = rows.select(
+        *keys, "piece_idx", F.coalesce("back", "text").alias("out"), "source", "n", "accepted", own.alias("own"),
+        (own & ~silent & F.col("back").isNull()).alias("kept"),
+        F.when(own & silent, F.struct("piece_idx", F.coalesce("r.error_kind", F.lit("unknown")).alias("kind"), "r.error")).alias("failed"),
     )
-    literal = rows.where("not translate").select(*keys, "piece_idx", F.col("text").alias("out"), F.lit(False).alias("kept"),
-                                                 F.lit(None).cast("string").alias("id"), F.lit(None).cast("boolean").alias("batched"),
-                                                 F.lit(None).cast("struct<piece_idx: int, kind: string, error: string>").alias("failed"))
-    all_ = done.unionByName(literal)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece_idx", "out"))), lambda p: p["out"])
-    return all_.groupBy(*keys).agg(
-        F.concat(trim(F.concat_ws("", ordered)), F.lit("\n")).alias("out"),
+    number = lambda name: F.sum(name).cast("long")
+    return rows.groupBy(*keys).agg(
+        F.max("source").alias("source"),
+        F.when(F.count("piece_idx") > 0, F.concat(trim(F.concat_ws("", ordered)), F.lit("\n"))).alias("out"),
         F.count_if("kept").alias("kept"),
         F.min("failed")["kind"].alias("error_kind"),
         F.coalesce(F.min("failed")["error"], F.min("failed")["kind"]).alias("error"),
-        F.count_distinct(F.when(~F.col("batched"), F.col("id"))).alias("requests"),
-        F.count_distinct(F.when(F.col("batched"), F.col("id"))).alias("accepted"),
-        (F.count("id") - F.count_distinct("id")).alias("reused"),
-    )
+        number(F.col("n") - F.col("accepted")).alias("requests"), number("accepted").alias("accepted"),
+        (F.count_if("own") - number("n")).alias("reused"),
+    )
 
 
 def by_parts(parts: DataFrame, keys: list[str], translator: Translator, options: Options) -> DataFrame:
-    """Parts rewritten whole, code and protected spans masked: keys, out (null if refused), error, masked."""
-    m = with_masked(parts).select(*keys, "masked.masked", "masked.tokens")
-    m = m.withColumn("id", F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))
-    m = _terms(m, "masked", options.glossary)
-    asked = m.select("id", F.col("masked").alias("user"), instruction(_task(options, "the Markdown below"), PART_RULES, F.col("applied")).alias("system"))
-    j = m.join(ask(asked, translator), "id", "left")
+    """Parts rewritten whole, code and protected spans masked: keys, source, out (null if refused), error_kind,
+    error, masked. No row is shuffled."""
+    lines = _glossary(parts, options.glossary)
+    m = with_masked(parts.select(*keys, F.col("text").alias("source")), "source").select(*keys, "source", "masked.masked", "masked.tokens")
+    system = instruction(_task(options, "the Markdown below"), PART_RULES, _applied(F.col("masked"), lines))
+    j = m.withColumn("got", ask(translator)(system, F.col("masked"))).select(*keys, "source", "masked", "tokens", "got.*")
     j = j.withColumn("back", restore(trim(unwrap(F.col("reply"), F.col("masked"))), F.col("tokens")))
     out = F.when(F.col("reply").isNotNull() & F.col("back.error").isNull(), F.concat(trim(F.col("back.text")), F.lit("\n")))
     error = F.when(F.col("reply").isNull(), F.coalesce("error", "error_kind")).otherwise(F.col("back.error"))
     kind = F.when(F.col("reply").isNull(), F.col("error_kind")).when(F.col("back.error").isNotNull(), F.lit("markers"))
-    return j.select(*keys, out.alias("out"), kind.alias("error_kind"), error.alias("error"), F.size("tokens").alias("masked"))
+    # The explode keeps the expression of ``out`` apart from the parser that reads it next.
+    return j.select(
+        *keys, "source", F.explode(F.array(out)).alias("out"), kind.alias("error_kind"), error.alias("error"), F.size("tokens").alias("masked")
+    )
 
 
 def transform_parts(parts: DataFrame, keys: list[str], translator: Translator, options: Options | None = None) -> DataFrame:
@@ -178,8 +210,7 @@ def transform_parts(parts: DataFrame, keys: list[str], translator: Translator, o
         made = by_parts(parts, keys, translator, options)
     else:
         made = by_blocks(parts, keys, translator, options)
-    both = parts.select(*keys, F.col("text").alias("source")).join(made, keys, "left")
-    checked = verify(both, "source", "out")
+    checked = verify(made, "source", "out")
     fine = F.col("out").isNotNull() & F.col("error").isNull() & (F.lit(options.skip_verify) | (F.size("reasons") == 0))
     return checked.withColumn("stored", fine)
 

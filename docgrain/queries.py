@@ -341,10 +341,9 @@ FROM k""")
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parsed(spark, sf_dir)
     t = outline.topics(docs, ["doc_id"])
-    first = t.where("block_idx = 0")
-    asked = t.where("block_idx = 6").select("doc_id", F.concat(F.replace("path", F.lit("e"), F.lit("E")), F.lit(" ")).alias("address"))
-    for x in (F.col("title"), F.lit("the"), F.lit(" ")):
-        asked = asked.union(first.select("doc_id", x.alias("address")))
+    path = F.concat(F.replace("path", F.lit("e"), F.lit("E")), F.lit(" "))
+    address = F.when(F.col("block_idx") == 6, F.array(path)).when(F.col("block_idx") == 0, F.array("title", F.lit("the"), F.lit(" ")))
+    asked = t.select("doc_id", F.explode(address).alias("address"))
     got = outline.sections(docs, asked, ["doc_id"])
     return got.select("doc_id", "address", "status", F.md5("text").alias("body"), F.array_join("candidates", "|").alias("candidates"))
 

@@ -293,3 +293,26 @@ def test_pieces_keep_every_character():
         assert not any("`" * 3 in p for p, free in pieces if free)
         masked, saved = fragments.mask_part(text)
         assert re.sub("⟦(\\d+)⟧", lambda m: saved[int(m[1])], masked) == whole
+
+
+def test_terms_lists_and_empty_parts(spark):
+    text = "The chunk and `code` here.\n\nThe chunk and `code` here.\n\nAnother line, without it.\n\n" + "A longer sentence that no list may hold, as it has too many letters. " * 2
+    rows = spark.createDataFrame([(1, 1, text), (1, 2, ""), (1, 3, None), (1, 4, "Only one.")], "doc_id long, part int, text string")
+
+    def answer(requests):
+        out = []
+        for system, user in requests:
+            if "numbered" in system:
+                assert "Fixed terms" not in system and user.startswith("1. The chunk and ⟦0⟧ here.\n2. Another")
+                out.append("1. Der Block und ⟦0⟧ hier.\n1. Ein ⟦0⟧.\n2. # New heading\n9. x")
+            else:
+                assert ("- chunks = Block" in system) == ("chunk" in user)
+                out.append(user.upper())
+        return out
+
+    got = {r.part: r for r in transform.transform_parts(rows, KEYS, answer, transform.Options(language="de", glossary={"chunks": "Block"})).collect()}
+    first = got[1]
+    assert first.out.startswith("Ein `code`.\n\nEin `code`.\n\nANOTHER LINE") or first.out.startswith("Der Block und `code` hier.\n\nDer")
+    assert (first.requests, first.accepted, first.reused, first.kept, first.stored, first.source) == (2, 1, 1, 0, True, text)
+    assert [(got[i].out, got[i].stored, got[i].error, got[i].requests) for i in (2, 3)] == [(None, False, None, 0)] * 2
+    assert (got[4].out, got[4].requests, got[4].accepted) == ("ONLY ONE.\n", 1, 0)
