@@ -60,12 +60,12 @@ def kind_of(tok) -> str:
 
 
 class Encoder:
-    """One tokenizer file; see :func:`kind_of`. ``light``: with two thirds of the cache and half the block."""
+    """One tokenizer file; see :func:`kind_of`. ``light``: with two thirds of the cache and an eighth of the block."""
 
     def __init__(self, path: str, light: bool = False):
         self.most, self.most_bytes, self.block = KNOWN, KNOWN_BYTES, BLOCK_BYTES
         if light:
-            self.most, self.most_bytes, self.block = KNOWN * 2 // 3, KNOWN_BYTES * 2 // 3, BLOCK_BYTES // 2
+            self.most, self.most_bytes, self.block = KNOWN * 2 // 3, KNOWN_BYTES * 2 // 3, BLOCK_BYTES // 8
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
