@@ -9,7 +9,8 @@ place from its length and its rank among pieces of that length. No text and no t
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,8 +24,9 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Branches that the search may visit before it settles for the incumbent. It bounds time, not input.
-NODES = 4000
+#: Branches that the search may visit before it settles for the incumbent. It bounds time, not input. A branch
+#: mostly uses up one length, so that this is over twice what the way down to a complete packing takes.
+NODES = 12_000
 
 
 def pieces(
@@ -128,19 +130,57 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [(f, n) for fs in open_.values() for f, n in fs.items()]
 
 
+def best_fit_bins(counts: dict[int, int], sizes: list[int], capacity: int) -> int:
+    """The number of bins of :func:`best_fit`, without their fillings. ``sizes``: those of ``counts``, ascending."""
+    half = bisect_right(sizes, capacity // 2)
+    rooms = [capacity - s for s in reversed(sizes[half:])]  # sorted; items over half a bin have one each
+    number = {capacity - s: counts[s] for s in sizes[half:]}
+    bins = sum(number.values())
+
+    for size in reversed(sizes[:half]):
+        left, at = counts[size], bisect_left(rooms, size)
+        while left:
+            if at == len(rooms):
+                room, per = capacity, min(capacity // size, left)
+                full = left // per
+                bins += full
+            else:
+                room = rooms[at]
+                per = min(room // size, left)
+                full = min(number[room], left // per)
+                number[room] -= full
+                if not number[room]:
+                    del number[room], rooms[at]
+            left -= per * full
+            room -= per * size
+            if room in number:
+                number[room] += full
+            elif room:
+                i = bisect_left(rooms, room)
+                rooms.insert(i, room)
+                number[room] = full
+                at += i <= at
+            # what is left finds no room below ``at``: the bins before are too full for another item
+    return bins
+
+
 def completions(sizes: list[int], counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
     """All undominated fillings of ``room`` that waste at most ``most_waste``, of any number of items.
+    ``sizes`` ascend.
 
     Least waste first, then larger items first. A filling is dominated if a remaining item fits beside
     it, or if one of its items could give way to a larger remaining one. Sums that the items from the
     least up to each size can make are kept as bit sets (subset sum, bounded by counts), so that no
     step of the enumeration leads nowhere.
     """
-    sizes = [s for s in sizes if s <= room and counts.get(s, 0) > 0]
+    sizes = [s for s in sizes[: bisect_right(sizes, room)] if counts.get(s, 0) > 0]
     within = (1 << room + 1) - 1
     reach = [1]
     for s in sizes:
         bits, left, k = reach[-1], min(counts[s], room // s), 1
+        if not (within ^ bits) >> s:  # only sums below s are missing, which no further size makes
+            reach += [bits] * (len(sizes) + 1 - len(reach))
+            break
         while left:
             k = min(k, left)
             bits |= bits << s * k & within
@@ -187,52 +227,59 @@ def solve(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) ->
     """
     best = best_fit(hist, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(hist, capacity) if hist else 0
-    total = sum(s * c for s, c in hist.items())
-
-    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[dict[int, int], tuple[Filling, int], int]]:
-        top = max(left)
-        others = dict(left)
-        others[top] -= 1
-        room = capacity - top
-        for items in completions(sorted(left), others, room, (bins - 1) * capacity - total - waste):
-            lost = room - sum(items)
-            need: dict[int, int] = {}
-            for s in (top, *items):
-                need[s] = need.get(s, 0) + 1
-            times = min(left[s] // k for s, k in need.items())
-            spare = (bins - 1) * capacity - total - waste
-            if lost > spare:
-                return
-            if lost * times > spare:  # a wasteful filling: one bin at a time keeps the choice open
-                times = 1
-            rest = {s: c - need.get(s, 0) * times for s, c in left.items() if c > need.get(s, 0) * times}
-            yield rest, (tuple(sorted(need.items(), reverse=True)), times), waste + lost * times
-
     if bins <= bound:
         return best
+    total = sum(s * c for s, c in hist.items())
     # Of each level only the step and the number of branches tried are kept; the counts are restored.
-    left, waste = dict(hist), 0
+    left, sizes = dict(hist), sorted(hist)
     path: list[tuple[Filling, int]] = []
-    tried = [0]
+    tried, waste, used = [0], 0, 0
+
+    def branch(number: int) -> tuple[Filling, int] | None:
+        """The filling of that number around the largest item left, and of how many bins; None beyond the last."""
+        top = sizes[-1]
+        room, spare = capacity - top, (bins - 1) * capacity - total - waste
+        left[top] -= 1
+        items = next(islice(completions(sizes, left, room, spare), number, None), None)
+        left[top] += 1
+        if items is None:
+            return None
+        need = Counter((top, *items))
+        times = min(left[s] // k for s, k in need.items())
+        if (room - sum(items)) * times > spare:  # a wasteful filling: one bin at a time keeps the choice open
+            times = 1
+        return tuple(sorted(need.items(), reverse=True)), times
+
+    def lost(filling: Filling) -> int:
+        return capacity - sum(s * k for s, k in filling)
+
     while tried and nodes > 0 and bins > bound:
-        branch = next(islice(branches(left, waste), tried[-1], None), None) if left else None
-        if branch is None:
+        step = branch(tried[-1]) if left else None
+        if step is None:
             tried.pop()
             if path:
                 filling, times = path.pop()
                 for s, k in filling:
+                    if s not in left:
+                        insort(sizes, s)
                     left[s] = left.get(s, 0) + k * times
-                waste -= (capacity - sum(s * k for s, k in filling)) * times
+                waste -= lost(filling) * times
+                used -= times
             continue
         nodes -= 1
         tried[-1] += 1
-        left, step, waste = branch
+        filling, times = step
+        for s, k in filling:
+            left[s] -= k * times
+            if not left[s]:
+                del left[s], sizes[bisect_left(sizes, s)]
+        waste += lost(filling) * times
+        used += times
         path.append(step)
         tried.append(0)
-        closed = best_fit(left, capacity)
-        n = sum(k for _, k in path) + sum(k for _, k in closed)
+        n = used + best_fit_bins(left, sizes, capacity)
         if n < bins:
-            best, bins = [*path, *closed], n
+            best, bins = [*path, *best_fit(left, capacity)], n
     return best
 
 
